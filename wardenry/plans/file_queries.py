@@ -71,7 +71,7 @@ def src1_json_lines(spark, sf):
     return files.json_lines(spark, path).select("record", "malformed")
 
 
-@query("src2_csv", ["kyc"], "SELECT customer_id, full_name, email, ssn, note FROM kyc")
+@query("src2_csv", ["kyc"], "SELECT customer_id, full_name, coalesce(email, '') AS email, ssn, coalesce(note, '') AS note FROM kyc")
 def src2_csv(spark, sf):
     path = scratch_path(spark, "csv")
     view(spark, sf, "kyc").select(*_CSV_COLUMNS).write.option("header", "true").csv(path)
@@ -291,11 +291,12 @@ def job5_atomic(spark, sf):
     store = _store(spark)
     with store.transaction() as change:
         change.append("orders", table(spark, sf, "orders"))
-    return steps.run_steps(store, tenant_policies(spark), "tenant_4", [
+    outcome = steps.run_steps(store, tenant_policies(spark), "tenant_4", [
         steps.Step("postgresql", "read", query="orders"),
         steps.Step("s3", "write", destination="finished", data=lambda read: read[0].where("o_orderstatus = 'F'")),
         steps.Step("snowflake", "write", destination="buyers", data=lambda read: read[0].where("o_orderstatus = 'F'").select("o_custkey").distinct()),
     ])
+    return outcome.drop("destination")
 
 
 @query("job5_rolled_back", [], "SELECT 'orders' AS table_name, count(*) AS row_count FROM orders")

@@ -34,7 +34,7 @@ class QualityGateClosed(RuntimeError):
 def log_audit(change: Transaction, rows: DataFrame) -> None:
     # A handful of rows per job: partitioned for pruning, no shuffle worth having.
     rows.write.partitionBy(*AUDIT_PARTITIONS).parquet(folder := change.new_folder(AUDIT_TABLE))
-    change.adopt(AUDIT_TABLE, folder, S.AUDIT)
+    change.adopt(AUDIT_TABLE, folder, S.AUDIT, partition_by=AUDIT_PARTITIONS)
 
 
 def log_lineage(change: Transaction, edges: DataFrame) -> None:
@@ -131,9 +131,9 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
             T.StructField("record", _TEXT), T.StructField("missing_fields", T.ArrayType(_TEXT)), T.StructField("tenant_id", _TEXT),
         ])
         if passed:
-            change.adopt(target, f"{folder}/accepted=true", accepted_schema)
+            change.adopt(target, f"{folder}/accepted=true", accepted_schema, partition_by=["tenant_id"])
         if failed:
-            change.adopt(f"{target}_rejected", f"{folder}/accepted=false", rejected_schema)
+            change.adopt(f"{target}_rejected", f"{folder}/accepted=false", rejected_schema, partition_by=["tenant_id"])
         if passed or failed:
             # Only partition columns are read back, so this counts rows from the file footers.
             written = store.spark.read.schema("accepted boolean, tenant_id string").parquet(folder)
@@ -303,7 +303,7 @@ def submit_requests(store: TableStore, submitted: DataFrame) -> DataFrame:
         rows = erasure.submission_events(written)
         events_folder = change.new_folder(AUDIT_TABLE)
         write_partitioned(rows, events_folder, AUDIT_PARTITIONS)
-        change.adopt(AUDIT_TABLE, events_folder, S.AUDIT)
+        change.adopt(AUDIT_TABLE, events_folder, S.AUDIT, partition_by=AUDIT_PARTITIONS)
     return rejected
 
 
@@ -339,7 +339,7 @@ def execute_requests(store: TableStore, tables: Mapping[str, list[str]], *, scop
         change.append(STATES_TABLE, started.unionByName(ended))
         events_folder = change.new_folder(AUDIT_TABLE)
         write_partitioned(erasure.execution_events(executed), events_folder, AUDIT_PARTITIONS)
-        change.adopt(AUDIT_TABLE, events_folder, S.AUDIT)
+        change.adopt(AUDIT_TABLE, events_folder, S.AUDIT, partition_by=AUDIT_PARTITIONS)
         return "success"
 
     return _run(store, result, "DATA_ERASURE", body, dry_run)

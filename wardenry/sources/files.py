@@ -51,8 +51,9 @@ def csv_table(spark: SparkSession, path: str | list[str], columns: list[str], gl
               multi_line: bool = False) -> DataFrame:
     """CSV with a header; every value is text. ``multi_line`` keeps quoted newlines but reads a file in one task.
 
-    The declared columns spare the pass over the data that finding them would take. Rows with too few or too many
-    fields come back with ``malformed`` set and their text in ``raw``.
+    The declared columns spare the pass over the data that finding them would take. An empty field is the empty text.
+    Rows with too few or too many fields come back with ``malformed`` set and their text in ``raw``; there a NULL may
+    be an absent or an empty field.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "raw"]])
     rows = (
@@ -61,7 +62,12 @@ def csv_table(spark: SparkSession, path: str | list[str], columns: list[str], gl
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "raw").option("enforceSchema", "false")
         .csv(path)
     )
-    return rows.withColumn("malformed", F.col("raw").isNotNull())
+    # Spark refuses a scan that needs nothing but the raw column, so the flag looks at a data column too.
+    malformed = F.col("raw").isNotNull() & (F.length(F.coalesce(F.col(columns[0]), F.lit(""))) >= 0)
+    return rows.select(
+        *[F.when(F.col("raw").isNull(), F.coalesce(F.col(c), F.lit(""))).otherwise(F.col(c)).alias(c) for c in columns],
+        "raw", malformed.alias("malformed"), F.col("_metadata.file_path").alias("path"),
+    )
 
 
 def as_records(df: DataFrame, path: Column, columns: list[str] | None = None) -> DataFrame:
@@ -80,7 +86,7 @@ def landing_zone(spark: SparkSession, root: str, csv_columns: list[str], json_is
     csv = csv_table(spark, root, csv_columns, "*.csv")
     parts.append(
         csv.select(
-            F.col("_metadata.file_path").alias("path"),
+            "path",
             F.when(F.col("malformed"), F.col("raw"))
             .otherwise(F.to_json(F.struct(*csv_columns), {"ignoreNullFields": "false"})).alias("record"),
             "malformed",
