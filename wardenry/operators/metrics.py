@@ -70,11 +70,12 @@ def summary(metrics: DataFrame) -> DataFrame:
         F.round(F.stddev_samp("value"), 2).alias("stdev"),
     )
     ranked = exact_percentiles(metrics, ["name"], "value", [0.50, 0.99])
-    wide = ranked.groupBy("name").agg(
+    wide = ranked.groupBy(F.col("name").alias("_name")).agg(
         F.max(F.when(F.col("fraction") == 0.50, F.col("percentile"))).alias("p50"),
         F.max(F.when(F.col("fraction") == 0.99, F.col("percentile"))).alias("p99"),
     )
-    return plain.join(wide, "name")
+    # Null-safe, so that no NOT NULL filter lands in one branch of the percentile plan and parts its shared shuffle.
+    return plain.join(wide, plain["name"].eqNullSafe(wide["_name"]), "left").drop("_name")
 
 
 def throughput(metrics: DataFrame, as_of: object, hours: int = 1, strict: bool = False) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BINS = 256
+# Up to this many groups their bounds (one array of bins each) are broadcast; beyond it both sides shuffle.
+FEW_GROUPS = 1_000
 
 
 def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -26,18 +28,32 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: lis
     """
     if any(not 0.0 <= f <= 1.0 for f in fractions):
         raise ValueError("fractions must be between 0 and 1")
+    if bins < 2 or bins & (bins - 1):
+        raise ValueError("bins must be a power of two")
     weighted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("percentile"))
         .agg(F.count("*").alias("_weight"))
     )
+    # One scan of the key columns alone tells whether the per-group tables may be broadcast. Then the values are
+    # shuffled once, by (keys, value), and all uses below share that shuffle.
+    few = not keys or df.select(*keys).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     cuts = [i / bins for i in range(1, bins)]
+    # The weight is always positive: the test keeps it in this branch too, so that the branches stay the same shuffle.
+    value_seen = F.when(F.col("_weight") > 0, F.col("percentile"))
     bounds = weighted.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-        F.array_distinct(F.percentile_approx("percentile", cuts, 20 * bins)).alias("_bounds")
+        F.array_distinct(F.percentile_approx(value_seen, cuts, 4 * bins)).alias("_bounds")
     )
-    binned = weighted.join(bounds, _same_keys(weighted, bounds, keys)).withColumn(
-        "_bin", F.size(F.filter("_bounds", lambda bound: bound < F.col("percentile")))
-    ).select(*keys, "percentile", "_weight", "_bin")
+    if few:
+        bounds = F.broadcast(bounds)
+    binned = weighted.join(bounds, _same_keys(weighted, bounds, keys)).withColumn("_bin", F.lit(0))
+    # Binary search for the number of bounds below the value; past the end ``get`` is NULL and nothing is added.
+    step = bins // 2
+    while step:
+        below = F.get("_bounds", F.col("_bin") + (step - 1)) < F.col("percentile")
+        binned = binned.withColumn("_bin", F.col("_bin") + F.when(below, step).otherwise(0))
+        step //= 2
+    binned = binned.select(*keys, "percentile", "_weight", "_bin")
 
     in_group = Window.partitionBy(*keys)
     upto = F.sum("_bin_weight").over(in_group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
@@ -51,6 +67,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: lis
         .where((F.col("_offset") >= 0) & (F.col("_offset") < F.col("_bin_weight")))
         .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_bin").alias("_wanted_bin"), "fraction", "_offset")
     )
+    if few:
+        wanted = F.broadcast(wanted)
     in_bin = Window.partitionBy(*keys, "fraction").orderBy("percentile").rowsBetween(Window.unboundedPreceding, 0)
     return (
         binned.join(wanted, _same_keys(binned, wanted, keys) & (F.col("_bin") == F.col("_wanted_bin")))

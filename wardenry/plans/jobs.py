@@ -32,18 +32,21 @@ class QualityGateClosed(RuntimeError):
 
 
 def log_audit(change: Transaction, rows: DataFrame) -> None:
-    # A handful of rows per job: partitioned for pruning, no shuffle worth having.
+
     rows.write.partitionBy(*AUDIT_PARTITIONS).parquet(folder := change.new_folder(AUDIT_TABLE))
     change.adopt(AUDIT_TABLE, folder, S.AUDIT, partition_by=AUDIT_PARTITIONS)
 
 
-def log_lineage(change: Transaction, edges: DataFrame) -> None:
-    """Stage edges once, then take the accompanying audit rows from what was staged, so that both carry the same ids."""
+def log_work(change: Transaction, rows: DataFrame, edges: DataFrame) -> None:
+    """Stage edges, then in one write the audit rows and those that accompany the edges.
+
+    The latter are read from the staged edges, so that both carry the same ids.
+    """
     folder = change.new_folder(LINEAGE_TABLE)
     edges.write.parquet(folder)
     change.adopt(LINEAGE_TABLE, folder, S.LINEAGE)
     written = edges.sparkSession.read.schema(S.LINEAGE).parquet(folder)
-    log_audit(change, lineage.tracking_events(written))
+    log_audit(change, rows.unionByName(lineage.tracking_events(written)))
 
 
 def _run(store: TableStore, result: JobResult, action: str, body: Callable[[Transaction], str], dry_run: bool) -> JobResult:
@@ -159,8 +162,7 @@ def _log_ingestion(change: Transaction, per_tenant: DataFrame, source_path: str,
             audit.events(per_tenant.where("passed > 0"), "MASK_RECORD", record_id=F.lit(target),
                          details={"records_masked": F.col("passed")})
         )
-    log_audit(change, rows)
-    log_lineage(change, lineage.track(
+    log_work(change, rows, lineage.track(
         per_tenant, F.lit(source_name(source_path)), F.lit(f"postgresql:{target}"), F.lit("kyc_ingestion")
     ))
 
@@ -183,6 +185,7 @@ def migrate_table(store: TableStore, source: DataFrame, target: str, *, rules: M
         )
         wanted = mapping or {c: c for c in source.columns}
         rows = counted.select(*[F.col(old).alias(new) for new, old in wanted.items()])
+        written_schema = rows.schema
         folder = change.new_folder(target)
         if dry_run:
             rows.write.format("noop").mode("overwrite").save()
@@ -196,7 +199,7 @@ def migrate_table(store: TableStore, source: DataFrame, target: str, *, rules: M
         score = passed / read if read else 0.0
         if read and score < threshold:
             raise QualityGateClosed(f"quality score {score:.4f} is below {threshold}")
-        written = read if dry_run else store.spark.read.schema(rows.schema).parquet(folder).count()
+        written = read if dry_run else store.spark.read.schema(written_schema).parquet(folder).count()
         result.details = {"verification_status": "passed", "records_processed": read, "records_written": written}
         if written != read:
             result.warnings.append(f"Record count mismatch: {read - written} records not written")
@@ -204,13 +207,13 @@ def migrate_table(store: TableStore, source: DataFrame, target: str, *, rules: M
             result.details["verification_status"] = "failed_mismatch"
         if dry_run:
             return "success"
-        change.adopt(target, folder, rows.schema)
+        change.adopt(target, folder, written_schema)
         one = store.spark.createDataFrame([(tenant_id,)], "tenant_id string")
-        log_audit(change, audit.events(one, "DATA_MIGRATION", record_id=F.lit(target), details={
+        rows = audit.events(one, "DATA_MIGRATION", record_id=F.lit(target), details={
             "source_system": F.lit(source_system), "target_system": F.lit(target_system),
             "records_processed": F.lit(read), "records_written": F.lit(written),
-        }))
-        log_lineage(change, lineage.track(
+        })
+        log_work(change, rows, lineage.track(
             one, F.lit(f"{source_system}:{target}"), F.lit(f"{target_system}:{target}"), F.lit("data_migration")
         ))
         return "success"
