@@ -14,23 +14,38 @@ STRATEGIES = ("hash", "tokenize", "redact")
 DEFAULT_STRATEGY = "redact"
 
 
+def _shortest(value: Column) -> Column:
+    """Decimal text of a double in any notation. The JVM may print 17 or 18 digits where fewer read back as the value.
+
+    Beyond 2**53 the last digit may still differ from the shortest text; cast such columns to DECIMAL or STRING first.
+    """
+    text = value.cast("string")
+    digits = F.regexp_replace(F.regexp_replace(text, r"E.*$", ""), r"^-?0\.0*|[-.]", "")
+    sixteen, seventeen = F.format_string("%.15e", value), F.format_string("%.16e", value)
+    return (
+        F.when((F.length(digits) > 16) & (sixteen.cast("double") == value), sixteen)
+        .when((F.length(digits) > 17) & (seventeen.cast("double") == value), seventeen)
+        .otherwise(text)
+    )
+
+
 def _double_text(value: Column) -> Column:
     """Shortest round-trip text of a double: plain digits from 1e-4 up to 1e16, otherwise an exponent of two digits or more."""
-    text = value.cast("string")
-    digits = F.regexp_replace(text, r"(\.0)?E.*$", "")
-    power = F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
+    text = _shortest(value)
+    mantissa = F.regexp_replace(F.regexp_replace(text, r"[eE].*$", ""), r"\.?0*$", "")
+    power = F.regexp_extract(text, r"[eE]([+-]?\d+)$", 1).cast("int")
     scientific = F.concat(
-        digits, F.when(power < 0, "e-").otherwise("e+"),
+        mantissa, F.when(power < 0, "e-").otherwise("e+"),
         F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"),
     )
     # Sixteen digits before the point and 22 after it hold every double in this range exactly as printed.
-    plain = F.regexp_replace(value.cast("decimal(38,22)").cast("string"), r"(\.\d+?)0*$", "$1")
+    plain = F.regexp_replace(text.cast("decimal(38,22)").cast("string"), r"(\.\d+?)0*$", "$1")
     size = F.abs(value)
     return (
         F.when(F.isnan(value), "nan")
         .when(value == float("inf"), "inf")
         .when(value == float("-inf"), "-inf")
-        .when(~text.contains("E"), text)
+        .when(~F.lower(text).contains("e"), text)
         .when((size >= 1e16) | (size < 1e-4), scientific)
         .otherwise(plain)
     )
