@@ -15,9 +15,12 @@ def required_fields(rules: Mapping[str, object]) -> list[str]:
     return [name for name, rule in rules.items() if isinstance(rule, Mapping) and rule.get("required", False)]
 
 
-def json_path(field: str) -> str:
-    escaped = field.replace("'", "\\'")
-    return f"$['{escaped}']"
+def json_value(record: Column, field: str) -> Column:
+    """Text of a top-level field, NULL when it is null or absent; nested values as JSON text."""
+    if field and not set(field) & {"'", "?"}:
+        return F.get_json_object(record, f"$['{field}']")
+    # The path syntax cannot name such a field.
+    return F.from_json(record, "map<string,string>")[field]
 
 
 def record_kind(record: Column) -> Column:
@@ -52,7 +55,7 @@ def json_errors(record: Column, fields: list[str]) -> Column:
     """All errors of one raw record. A key that is absent and a key that is null are different errors."""
     keys = F.json_object_keys(record)
     per_field = _field_errors(
-        (f, ~F.array_contains(keys, f), F.get_json_object(record, json_path(f)).isNull()) for f in fields
+        (f, ~F.array_contains(keys, f), json_value(record, f).isNull()) for f in fields
     )
     structural = F.array(
         _error(None, "structural", F.concat(F.lit("Record must be dict, got "), record_kind(record)))

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardenry import schemas as S
-from wardenry.functions.checks import json_path
+from wardenry.functions.checks import json_value
 from wardenry.functions.masking import mask_value
 from wardenry.operators import audit, compliance, erasure, lineage, quality, vault
 from wardenry.operators.masking import field_strategy
 from wardenry.operators.registry import check_presence
 from wardenry.plans.runs import JobResult
+from wardenry.session import observed
 from wardenry.sources.versioned import TableStore, Transaction, write_partitioned
 
 AUDIT_TABLE, LINEAGE_TABLE, RUNS_TABLE = "audit", "lineage", "job_runs"
@@ -102,7 +103,7 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
         for name, rule in rules.items():
             if name == "tenant_id":
                 continue
-            raw = F.get_json_object("record", json_path(name))
+            raw = json_value(F.col("record"), name)
             strategy = field_strategy(rule)
             masked = mask_value(raw, _TEXT, strategy, name, rule.get("include_in_hash", True)) if strategy else raw
             fields.append(F.when(valid, masked).alias(name))
@@ -120,7 +121,7 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
             counted.write.format("noop").mode("overwrite").save()
         else:
             write_partitioned(counted, folder, ["accepted", "tenant_id"])
-        passed, failed = seen.get["passed"], seen.get["failed"]
+        passed, failed = observed(seen, "passed"), observed(seen, "failed")
         result.records_processed, result.records_failed = passed, failed
         result.details = {"records_processed": passed, "records_inserted": passed, "validation_errors": failed}
         score = passed / (passed + failed) if passed + failed else 0.0
@@ -191,7 +192,7 @@ def migrate_table(store: TableStore, source: DataFrame, target: str, *, rules: M
             rows.write.format("noop").mode("overwrite").save()
         else:
             rows.write.parquet(folder)
-        passed, failed = seen.get["passed"], seen.get["failed"]
+        passed, failed = observed(seen, "passed"), observed(seen, "failed")
         read = passed + failed
         result.records_processed, result.records_failed = read, failed
         if failed:
@@ -358,11 +359,11 @@ def store_tokens(store: TableStore, values: DataFrame, created_at: object, ttl_s
         folder = change.new_folder(VAULT_TABLE)
         seen = Observation()
         fresh.select(*columns).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(folder)
-        if seen.get["n"]:
+        if observed(seen, "n"):
             staged = store.spark.read.schema(S.VAULT).parquet(folder)
             vault.require_no_collisions(held.select("token_id", "value").unionByName(staged.select("token_id", "value")))
             change.adopt(VAULT_TABLE, folder, S.VAULT)
-    return seen.get["n"]
+    return observed(seen, "n")
 
 
 def expire_audit(store: TableStore, as_of: object, retention_days: int | None) -> None:

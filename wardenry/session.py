@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # AQE splits a hot join key by map output, so a key that holds a third of the rows is read by many
@@ -75,3 +76,14 @@ def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataF
     Beyond the bound the side is returned as it is, and the join shuffles both sides.
     """
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def observed(observation: Observation, name: str) -> int:
+    """A count taken during a write; 0 when an empty input made Spark drop the counting from the plan."""
+    try:
+        return observation.get.get(name) or 0
+    except Py4JJavaError as error:
+        # A dropped observation ends as a row without a schema, which PySpark refuses to convert.
+        if "AssertionError" in str(error.java_exception):
+            return 0
+        raise

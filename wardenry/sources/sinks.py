@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardenry.session import observed
 from wardenry.sources import files, tables, topics
 from wardenry.sources.versioned import TableStore
 
@@ -35,9 +36,9 @@ def append(store: TableStore, table: str, df: DataFrame, target: T.StructType, p
     counted = Observation()
     with store.transaction() as change:
         change.append(table, aligned.observe(counted, F.count(F.lit(1)).alias("n")), partition_by)
-        if counted.get["n"] == 0:
+        if observed(counted, "n") == 0:
             change.staged.clear()
-    return counted.get["n"]
+    return observed(counted, "n")
 
 
 def append_database(df: DataFrame, url: str, table: str, batch_size: int = 10_000, connections: int = 16) -> None:
@@ -89,4 +90,4 @@ def write_any(kind: str, destination: str, df: DataFrame, *, tenant_id: str, roo
         )
     else:
         raise ValueError(f"cannot write to {kind} with what was given")
-    return counted.get["n"]
+    return observed(counted, "n")
