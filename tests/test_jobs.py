@@ -134,7 +134,7 @@ def test_erasure_by_record_id(spark, store):
     asked = spark.createDataFrame([(1,), (9,)], "id int")
     dry = jobs.erase_records(store, "people", asked, "id", tenant_id="t1", dry_run=True)
     assert (dry.records_processed, dry.records_failed, store.read("people").count()) == (1, 1, 3)
-    done = jobs.erase_records(store, "people", asked, "id", tenant_id="t1", partition_by=["tenant_id"])
+    done = jobs.erase_records(store, "people", asked, "id", tenant_id="t1")
     assert done.status == "warning" and {(r.tenant_id, r.id) for r in store.read("people").collect()} == {("t1", 2), ("t2", 1)}
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 import random
 import statistics
-from datetime import datetime, timedelta
+import time
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from wardenry import schemas as S
 from wardenry.operators import audit, conformance, lineage, metrics
+from wardenry.schemas import moment
 from wardenry.operators.percentile import exact_percentiles
 
 T0 = datetime(2024, 1, 1)
@@ -56,6 +58,18 @@ def test_audit_conformance(spark):
     assert found == [("e0", "action_empty"), ("e1", "user_empty"), ("e2", "status_invalid"), ("e2", "tenant_id_empty"), ("e3", "failure_without_message")]
 
 
+def test_moments_do_not_depend_on_the_machine(spark, monkeypatch):
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    try:
+        plain = spark.range(1).select(moment(T0).cast("timestamp").cast("string").alias("t")).first().t
+        aware = spark.range(1).select(moment(T0.replace(tzinfo=timezone.utc)).cast("string").alias("t")).first().t
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert plain == aware == "2024-01-01 00:00:00"
+
+
 def test_retention(log):
     assert audit.retained(log, T0 + timedelta(days=9), None).count() == 4
     end = T0 + timedelta(days=1, hours=2)

@@ -232,7 +232,31 @@ def test_partitions_and_compaction(spark, store):
     assert store.read("a").count() == 4
     with pytest.raises(ValueError):
         with store.transaction() as change:
-            change.append("a", spark.createDataFrame([(1, "x", "y")], "id int, tenant_id string, dt string"))
+            change.append("a", spark.createDataFrame([(1, "x", "y")], "id int, tenant_id string, dt string"), ["dt"])
+    with store.transaction() as change:
+        change.append("a", spark.createDataFrame([(1, "x/y=%", "z")], "id int, tenant_id string, dt string"))
+    assert store.partition_columns("a") == ["tenant_id"] and store.read("a").where("tenant_id = 'x/y=%'").count() == 1
+
+
+def test_only_affected_partitions_are_replaced(spark, store):
+    schema = "id int, tenant_id string, dt string"
+    rows = [(i, t, d) for i, (t, d) in enumerate([("a/b", "1"), ("a/b", "2"), ("c", "1"), (None, "1")])]
+    for _ in range(2):
+        with store.transaction() as change:
+            change.append("x", spark.createDataFrame(rows, schema), ["tenant_id", "dt"])
+    def untouched():
+        rows = store.read("x").where("tenant_id = 'c' OR tenant_id IS NULL")
+        return {r[0] for r in rows.select("_metadata.file_path").distinct().collect()}
+
+    before = untouched()
+    with store.transaction() as change:
+        left = store.read("x").where("tenant_id = 'a/b' AND id = 1")
+        change.replace_partitions("x", left, lambda values: values["tenant_id"] == "a/b")
+    assert sorted((r.id, r.tenant_id) for r in store.read("x").where("tenant_id IS NOT NULL").collect()) == [(1, "a/b")] * 2 + [(2, "c")] * 2
+    assert untouched() == before
+    with store.transaction() as change:
+        change.replace_partitions("x", store.read("x").limit(0), lambda values: values["dt"] == "1")
+    assert {(r.id, r.dt) for r in store.read("x").collect()} == {(1, "2")}
 
 
 def test_dml(spark):

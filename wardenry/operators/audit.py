@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardenry import schemas as S
 from wardenry.operators.conformance import AUDIT_STATUSES
-from wardenry.schemas import typed_literal
+from wardenry.schemas import moment, typed_literal
 
 
 def events(rows: DataFrame, action: str | Column, *, status: str | Column = "SUCCESS", user: str | Column = "batch_job",
@@ -21,17 +21,17 @@ def events(rows: DataFrame, action: str | Column, *, status: str | Column = "SUC
 
     if isinstance(status, str) and status not in AUDIT_STATUSES:
         raise ValueError(f"status must be one of {AUDIT_STATUSES}")
-    moment = F.current_timestamp() if ts is None else (ts if isinstance(ts, Column) else F.lit(ts)).cast("timestamp")
+    at = F.current_timestamp() if ts is None else moment(ts).cast("timestamp")
     pairs = [part for key, value in (details or {}).items() for part in (F.lit(key), value.cast("string"))]
     empty = F.create_map().cast("map<string,string>")
     null = F.lit(None).cast("string")
     return rows.select(
-        F.uuid().alias("event_id"), moment.alias("ts"), text(action).alias("action"), text(user).alias("user"),
+        F.uuid().alias("event_id"), at.alias("ts"), text(action).alias("action"), text(user).alias("user"),
         (F.col(tenant_id) if isinstance(tenant_id, str) else tenant_id).alias("tenant_id"),
         (null if record_id is None else record_id.cast("string")).alias("record_id"),
         (F.create_map(*pairs) if pairs else empty).alias("details"), text(status).alias("status"),
         (null if error_message is None else error_message.cast("string")).alias("error_message"),
-        F.to_date(moment).alias("dt"),
+        F.to_date(at).alias("dt"),
     )
 
 

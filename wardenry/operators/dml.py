@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardenry.operators.joins import lookup_join
+
 
 def latest_per_key(changes: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     """One change per key, the last by ``order``. An aggregate, so a key with many changes is combined early."""
@@ -26,7 +28,7 @@ def delete_where(target: DataFrame, condition: Column) -> DataFrame:
 
 
 def delete_keys(target: DataFrame, doomed: DataFrame, keys: list[str]) -> DataFrame:
-    return target.join(doomed.select(*keys).distinct(), keys, "left_anti").select(*target.columns)
+    return lookup_join(target, doomed.select(*keys).distinct(), keys, "left_anti")
 
 
 def update_where(target: DataFrame, condition: Column, changes: dict[str, Column]) -> DataFrame:

@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from wardenry.functions.masking import is_blank
 from wardenry.operators import audit
 from wardenry.operators.conformance import request_rules
+from wardenry.operators.joins import lookup_join
+from wardenry.schemas import moment
 
 NEXT_STATES = {"PENDING": ("IN_PROGRESS",), "IN_PROGRESS": ("COMPLETE", "FAILED")}
 
 
 def intake(submitted: DataFrame, ts: object | None = None) -> tuple[DataFrame, DataFrame]:
     """Accepted requests with id, time and PENDING status, and the rejected ones with the rules they break."""
-    moment = F.current_timestamp() if ts is None else (ts if isinstance(ts, Column) else F.lit(ts)).cast("timestamp")
+    at = F.current_timestamp() if ts is None else moment(ts).cast("timestamp")
     request_id = F.col("request_id") if "request_id" in submitted.columns else F.uuid()
     rows = submitted.select(
         request_id.alias("request_id"), "user_id", "tenant_id", "reason", "fields_to_delete",
-        moment.alias("created_at"), F.lit("PENDING").alias("status"),
+        at.alias("created_at"), F.lit("PENDING").alias("status"),
         F.lit(None).cast("timestamp").alias("executed_at"), F.lit(None).cast("string").alias("error_message"),
     )
     broken = F.array_compact(F.array(*[F.when(breach, F.lit(name)) for name, breach in request_rules()]))
@@ -50,7 +52,7 @@ def judge_transitions(states: DataFrame, proposed: DataFrame) -> DataFrame:
     allowed = F.lit(False)
     for start, ends in NEXT_STATES.items():
         allowed = allowed | ((F.col("from_status") == start) & F.col("status").isin(*ends))
-    return proposed.join(now, "request_id", "left").withColumn(
+    return lookup_join(proposed, now, ["request_id"]).withColumn(
         "problem",
         F.when(F.col("from_status").isNull(), "unknown_request").when(~allowed, "transition_not_allowed"),
     )
@@ -110,7 +112,7 @@ def doomed_tokens(vault: DataFrame, requests: DataFrame, scope: str = "owner") -
         # Any request at all erases the whole vault; the existence test is one scalar, not a join.
         return vault.where(requests.agg((F.count("*") > 0).alias("any_request")).scalar())
     owned = requests.select("tenant_id", "user_id", F.explode("fields_to_delete").alias("field")).distinct()
-    return vault.join(owned, ["tenant_id", "user_id", "field"], "left_semi")
+    return lookup_join(vault, owned, ["tenant_id", "user_id", "field"], "left_semi")
 
 
 def erase_tokens(vault: DataFrame, requests: DataFrame, scope: str = "owner") -> DataFrame:
@@ -120,7 +122,7 @@ def erase_tokens(vault: DataFrame, requests: DataFrame, scope: str = "owner") ->
     if scope != "owner":
         raise ValueError("scope must be owner or all")
     owned = requests.select("tenant_id", "user_id", F.explode("fields_to_delete").alias("field")).distinct()
-    return vault.join(owned, ["tenant_id", "user_id", "field"], "left_anti")
+    return lookup_join(vault, owned, ["tenant_id", "user_id", "field"], "left_anti")
 
 
 def erase_fields(df: DataFrame, requests: DataFrame, fields: list[str], keys: tuple[str, ...] = ("tenant_id", "user_id")) -> DataFrame:
@@ -132,7 +134,7 @@ def erase_fields(df: DataFrame, requests: DataFrame, fields: list[str], keys: tu
     flags = requests.groupBy(*keys).agg(
         *[F.bool_or(F.array_contains("fields_to_delete", f)).alias(f"_erase_{f}") for f in fields]
     )
-    joined = df.join(flags, list(keys), "left")
+    joined = lookup_join(df, flags, list(keys))
     kept = [
         F.when(F.col(f"_erase_{c}"), F.lit(None)).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
         for c in df.columns
@@ -142,13 +144,13 @@ def erase_fields(df: DataFrame, requests: DataFrame, fields: list[str], keys: tu
 
 def erase_records(df: DataFrame, record_ids: DataFrame, key: str) -> DataFrame:
     """The table without the listed records."""
-    return df.join(record_ids.select(key).distinct(), key, "left_anti")
+    return lookup_join(df, record_ids.select(key).distinct(), [key], "left_anti")
 
 
 def record_outcomes(df: DataFrame, record_ids: DataFrame, key: str) -> DataFrame:
     """Per listed id how many rows it erases; zero means the id was not found."""
     asked = record_ids.select(key).distinct()
-    held = df.join(asked, key, "left_semi").groupBy(key).agg(F.count("*").alias("erased_rows"))
+    held = lookup_join(df, asked, [key], "left_semi").groupBy(key).agg(F.count("*").alias("erased_rows"))
     return asked.join(held, key, "left").select(key, F.coalesce("erased_rows", F.lit(0).cast("long")).alias("erased_rows"))
 
 

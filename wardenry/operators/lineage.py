@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardenry.operators import audit
+from wardenry.operators.joins import lookup_join
+from wardenry.schemas import moment
 from wardenry.session import scratch_path
 
 SOURCE, TARGET = "source_dataset", "destination_dataset"
@@ -14,10 +16,10 @@ SOURCE, TARGET = "source_dataset", "destination_dataset"
 def track(rows: DataFrame, source: Column, destination: Column, transformation: Column, *, user: Column | None = None,
           tenant_id: str = "tenant_id", metadata: dict[str, Column] | None = None, ts: object | None = None) -> DataFrame:
     """Lineage rows derived from ``rows``, one each."""
-    moment = F.current_timestamp() if ts is None else (ts if isinstance(ts, Column) else F.lit(ts)).cast("timestamp")
+    at = F.current_timestamp() if ts is None else moment(ts).cast("timestamp")
     pairs = [part for key, value in (metadata or {}).items() for part in (F.lit(key), value.cast("string"))]
     return rows.select(
-        F.uuid().alias("event_id"), moment.alias("ts"), source.cast("string").alias(SOURCE),
+        F.uuid().alias("event_id"), at.alias("ts"), source.cast("string").alias(SOURCE),
         destination.cast("string").alias(TARGET), transformation.cast("string").alias("transformation"),
         (F.lit("batch_job") if user is None else user).alias("user"), F.col(tenant_id),
         (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("metadata"),
@@ -52,7 +54,7 @@ def downstream(edges: DataFrame, dataset: str) -> DataFrame:
 def touching_many(edges: DataFrame, datasets: DataFrame) -> DataFrame:
     """Events touching each of many datasets: one narrow explode and one equi-join, a self-loop once."""
     sides = edges.withColumn("dataset", F.explode(F.array_distinct(F.array(SOURCE, TARGET))))
-    return sides.join(datasets.select("dataset").distinct(), "dataset", "left_semi")
+    return lookup_join(sides, datasets.select("dataset").distinct(), ["dataset"], "left_semi")
 
 
 def neighbours(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardenry.operators.percentile import exact_percentiles
-from wardenry.schemas import typed_literal
+from wardenry.schemas import moment, typed_literal
 
 
 class NoData(ValueError):
@@ -30,11 +30,11 @@ def _strictly(result: DataFrame, strict: bool) -> DataFrame:
 def record(rows: DataFrame, name: str | Column, value: Column, labels: dict[str, Column] | None = None,
            ts: object | None = None) -> DataFrame:
     """Metric rows derived from ``rows``, one each."""
-    moment = F.current_timestamp() if ts is None else (ts if isinstance(ts, Column) else F.lit(ts)).cast("timestamp")
+    at = F.current_timestamp() if ts is None else moment(ts).cast("timestamp")
     pairs = [part for key, label in (labels or {}).items() for part in (F.lit(key), label.cast("string"))]
     return rows.select(
         F.uuid().alias("metric_id"), (F.lit(name) if isinstance(name, str) else name).alias("name"),
-        value.cast("double").alias("value"), moment.alias("ts"),
+        value.cast("double").alias("value"), at.alias("ts"),
         (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("labels"),
     )
 

@@ -30,6 +30,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: lis
         raise ValueError("fractions must be between 0 and 1")
     if bins < 2 or bins & (bins - 1):
         raise ValueError("bins must be a power of two")
+    if not keys:
+        # One constant group: the joins below stay equi-joins.
+        return exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, fractions, bins).drop("_all")
     weighted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("percentile"))
@@ -37,7 +40,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: lis
     )
     # One scan of the key columns alone tells whether the per-group tables may be broadcast. Then the values are
     # shuffled once, by (keys, value), and all uses below share that shuffle.
-    few = not keys or df.select(*keys).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    few = df.select(*keys).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     cuts = [i / bins for i in range(1, bins)]
     # The weight is always positive: the test keeps it in this branch too, so that the branches stay the same shuffle.
     value_seen = F.when(F.col("_weight") > 0, F.col("percentile"))

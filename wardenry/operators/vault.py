@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardenry.functions.masking import token_text
-from wardenry.schemas import typed_literal
+from wardenry.operators.joins import lookup_join
+from wardenry.schemas import moment, typed_literal
 
 
 class TokenCollision(ValueError):
@@ -23,8 +24,7 @@ def new_tokens(values: DataFrame, vault: DataFrame, created_at: object, ttl_seco
     if ttl_seconds is not None and ttl_seconds < 0:
         raise ValueError("ttl_seconds must not be negative")
     keys = ["token_id", *owner]
-    created = created_at if isinstance(created_at, Column) else F.lit(created_at)
-    created = created.cast("timestamp")
+    created = moment(created_at).cast("timestamp")
     expires = created + F.make_dt_interval(secs=F.lit(ttl_seconds)) if ttl_seconds is not None else F.lit(None).cast("timestamp")
     distinct = (
         values.where(F.col(column).isNotNull() & (F.col(column) != ""))
@@ -62,19 +62,16 @@ def unexpired(vault: DataFrame, as_of: object) -> Column:
 def detokenise(refs: DataFrame, vault: DataFrame, as_of: object, token: str = "token_id") -> DataFrame:
     """Value of every referenced token, with ``vault_error`` unknown or expired where there is none."""
     lookup = vault.select(
-        F.col("token_id").alias("_vault_token"), F.col("value").alias("_value"),
-        unexpired(vault, as_of).alias("_live"),
-    ).groupBy("_vault_token").agg(F.max("_value").alias("_value"), F.max("_live").alias("_live"))
-    joined = refs.join(lookup, refs[token] == lookup["_vault_token"], "left")
-    return joined.withColumn("value", F.when(F.col("_live"), F.col("_value"))).withColumn(
-        "vault_error",
-        F.when(F.col("_vault_token").isNull(), "unknown").when(~F.col("_live"), "expired"),
-    ).drop("_vault_token", "_value", "_live")
+        F.col("token_id").alias(token), F.col("value").alias("_value"), unexpired(vault, as_of).alias("_live")
+    ).groupBy(token).agg(F.max("_value").alias("_value"), F.max("_live").alias("_live"))
+    return lookup_join(refs, lookup, [token]).withColumn("value", F.when(F.col("_live"), F.col("_value"))).withColumn(
+        "vault_error", F.when(F.col("_live").isNull(), "unknown").when(~F.col("_live"), "expired")
+    ).drop("_value", "_live")
 
 
 def delete_tokens(vault: DataFrame, doomed: DataFrame, keys: tuple[str, ...] = ("token_id",)) -> DataFrame:
     """The vault without the given tokens."""
-    return vault.join(doomed.select(*keys).distinct(), list(keys), "left_anti")
+    return lookup_join(vault, doomed.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def deletion_flags(vault: DataFrame, doomed: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from wardenry.operators import (
     audit, compliance, conformance, dml, erasure, lineage, masking, metrics, quality, reconcile, registry, tenancy, vault,
 )
 from wardenry.plans.bindings import table, view, with_views
+from wardenry.schemas import moment
 from wardenry.session import configure
 from wardenry.sources import tables as query_scans
 from wardenry.sources import topics
@@ -178,7 +179,7 @@ def kyc_vault(spark, sf):
     ))
     owned = kyc.select("tenant_id", "user_id", "balance", fields.alias("_f")).select("tenant_id", "user_id", "balance", "_f.*")
     ttl = F.when(F.col("balance") > 8000, 1800).when(F.col("balance") > 6000, 3600).when(F.col("balance") > 4000, 7200)
-    created = F.lit(VAULT_TIME).cast("timestamp")
+    created = moment(VAULT_TIME).cast("timestamp")
     return owned.where("value IS NOT NULL").select(
         mk.token_text(F.col("value")).alias("token_id"), "value", created.alias("created_at"),
         (created + F.make_dt_interval(secs=ttl)).alias("expires_at"), "tenant_id", "user_id", "field",
@@ -492,8 +493,7 @@ def aud7_violations(spark, sf):
 SELECT event_id, tenant_id FROM audit WHERE ts >= (SELECT max(ts) FROM audit) - INTERVAL 10 DAY""")
 def aud8_retention(spark, sf):
     log = view(spark, sf, "audit")
-    latest = table(spark, sf, "events").agg(F.max("ts")).scalar()
-    return audit.retained(log, latest, 10).select("event_id", "tenant_id")
+    return audit.retained(log, latest_event(spark, sf), 10).select("event_id", "tenant_id")
 
 
 # --- lineage ---------------------------------------------------------------------------------------------------------
@@ -744,7 +744,7 @@ def era8_outcomes(spark, sf):
 SELECT request_id, rule FROM requests, (VALUES ('failed_without_message'), ('field_name_empty')) r(rule)
 WHERE (rule = 'failed_without_message' AND status = 'FAILED') OR (rule = 'field_name_empty' AND fields = 'card')""")
 def era9_violations(spark, sf):
-    requests = erasure_requests(spark, sf).withColumn("created_at", F.lit(VAULT_TIME)).withColumn(
+    requests = erasure_requests(spark, sf).withColumn("created_at", moment(VAULT_TIME)).withColumn(
         "error_message", F.lit(None).cast("string")
     ).withColumn("fields_to_delete", F.transform("fields_to_delete", lambda f: F.when(f == "card", "").otherwise(f)))
     return conformance.request_violations(requests)
@@ -761,7 +761,8 @@ def event_metrics(spark, sf):
 
 
 def latest_event(spark, sf):
-    return table(spark, sf, "events").agg(F.max("ts")).scalar()
+    """Time of the newest event, as a value: filters on it reach the scan, as they would with a scheduled ``as_of``."""
+    return table(spark, sf, "events").agg(F.max("ts")).first()[0]
 
 
 @query("met1_record", [], """
@@ -830,7 +831,7 @@ SELECT round(100.0 * count(*) FILTER (WHERE status = 'FAILURE') / count(*), 2)::
 WHERE ts BETWEEN (SELECT max(ts) FROM audit) - INTERVAL 200 HOUR AND (SELECT max(ts) FROM audit)""")
 def met8_error_rate(spark, sf):
     end = latest_event(spark, sf)
-    return metrics.error_rate(view(spark, sf, "audit"), end - F.make_dt_interval(hours=F.lit(200)), end)
+    return metrics.error_rate(view(spark, sf, "audit"), end - timedelta(hours=200), end)
 
 
 @query("met8_by_tenant", ["audit"], """

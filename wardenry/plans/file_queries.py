@@ -198,6 +198,61 @@ def job1_kyc(spark, sf):
     return store.read("customers")
 
 
+LINE_RULES = {
+    "order": {"required": True}, "supplier": {"required": True, "sensitive": True, "masking_strategy": "tokenize"},
+    "price": {"sensitive": True, "masking_strategy": "hash"}, "flag": {},
+}
+
+
+@query("job1_volume", [], """
+SELECT CAST(l_orderkey AS STRING) AS "order", 'token_' || substr(sha256(CAST(l_suppkey AS STRING)), 1, 16) AS supplier,
+  sha256('price:' || CAST(l_extendedprice AS STRING)) AS price, l_returnflag AS flag, 'tenant_' || l_linestatus AS tenant_id
+FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_quantity < 10)""")
+def job1_volume(spark, sf):
+    """The largest table as raw records of two tenants; returned records of small orders lack their supplier."""
+    supplier = F.when(~((F.col("l_returnflag") == "R") & (F.col("l_quantity") < 10)), F.col("l_suppkey"))
+    record = F.to_json(F.struct(
+        F.col("l_orderkey").alias("order"), supplier.alias("supplier"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"),
+    ))
+    records = table(spark, sf, "lineitem").select(
+        record.alias("record"), F.concat(F.lit("tenant_"), "l_linestatus").alias("tenant_id")
+    )
+    store = _store(spark)
+    jobs.ingest_records(store, records, LINE_RULES, "lines", source_path="s3://landing/lines")
+    return store.read("lines")
+
+
+@query("job2_volume", [], "SELECT l_orderkey AS order_id, l_suppkey AS supplier_id, l_extendedprice AS amount FROM lineitem")
+def job2_volume(spark, sf):
+    store = _store(spark)
+    jobs.migrate_table(
+        store, table(spark, sf, "lineitem"), "lines", rules={"l_orderkey": {"required": True}, "l_suppkey": {"required": True}},
+        tenant_id="tenant_0", source_system="postgresql", target_system="snowflake",
+        mapping={"order_id": "l_orderkey", "supplier_id": "l_suppkey", "amount": "l_extendedprice"},
+    )
+    return store.read("lines")
+
+
+@query("job4_volume", ["requests"], """
+SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM requests r WHERE r.user_id = 'user_' || CAST(o_custkey AS STRING) AND list_contains(string_split(r.fields, ','), 'card'))
+  THEN NULL ELSE o_totalprice END AS card FROM orders""")
+def job4_volume(spark, sf):
+    """Orders of the customers who asked for erasure, the amount standing for the card field; nation tenants as partitions."""
+    owners = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("tenant_"), F.col("c_nationkey").cast("string")).alias("tenant_id")
+    )
+    orders = table(spark, sf, "orders").join(owners, "o_custkey").select(
+        "o_orderkey", F.concat(F.lit("user_"), F.col("o_custkey").cast("string")).alias("user_id"),
+        F.col("o_totalprice").alias("card"), "tenant_id",
+    )
+    store = _store(spark)
+    with store.transaction() as change:
+        change.append("orders", orders, ["tenant_id"])
+    jobs.submit_requests(store, erasure_requests(spark, sf))
+    jobs.execute_requests(store, {"orders": ["card"]})
+    return store.read("orders").select("o_orderkey", "card")
+
+
 @query("job1_rejected", ["kyc_json"], f"""
 SELECT record, tenant_id, CASE WHEN NOT is_object THEN NULL WHEN no_email AND no_ssn THEN 'email,ssn' WHEN no_email THEN 'email' ELSE 'ssn' END AS missing
 FROM ({_MISSING_SQL}) m WHERE NOT is_object OR no_email OR no_ssn""")
@@ -279,7 +334,7 @@ def job4_records(spark, sf):
     with store.transaction() as change:
         change.append("customers", customers, ["tenant_id"])
     ids = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    jobs.erase_records(store, "customers", ids, "c_custkey", tenant_id="tenant_7", partition_by=["tenant_id"])
+    jobs.erase_records(store, "customers", ids, "c_custkey", tenant_id="tenant_7")
     return store.read("customers")
 
 

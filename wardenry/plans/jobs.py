@@ -7,6 +7,7 @@ raises publishes nothing but its failure event.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from wardenry import schemas as S
 from wardenry.functions.checks import json_value
 from wardenry.functions.masking import mask_value
 from wardenry.operators import audit, compliance, erasure, lineage, quality, vault
+from wardenry.operators.joins import lookup_join
 from wardenry.operators.masking import field_strategy
 from wardenry.operators.registry import check_presence
 from wardenry.plans.runs import JobResult
@@ -25,6 +27,7 @@ from wardenry.sources.versioned import TableStore, Transaction, write_partitione
 AUDIT_TABLE, LINEAGE_TABLE, RUNS_TABLE = "audit", "lineage", "job_runs"
 REQUESTS_TABLE, STATES_TABLE, VAULT_TABLE = "erasure_requests", "erasure_states", "vault"
 AUDIT_PARTITIONS = ["tenant_id", "dt"]
+MAX_LISTED_TENANTS = 10_000
 _TEXT = T.StringType()
 
 
@@ -264,13 +267,12 @@ def check_compliance(store: TableStore, tenants: DataFrame, check_type: str = "f
 
 
 def erase_records(store: TableStore, table: str, record_ids: DataFrame, key: str, *, tenant_id: str,
-                  reason: str = "user_request", dry_run: bool = False, partition_by: list[str] | None = None) -> JobResult:
+                  reason: str = "user_request", dry_run: bool = False) -> JobResult:
     """Erase the listed records of one tenant from a table (JOB-4 by record id). Ids that match nothing count as failed."""
     result = JobResult("data_erasure", tenant_id)
 
     def body(change: Transaction) -> str:
         data = store.read(table, change.base)
-        doomed = record_ids.select(key).withColumn("tenant_id", F.lit(tenant_id)).distinct()
         mine = data.where(F.col("tenant_id") == tenant_id)
         found = erasure.record_outcomes(mine, record_ids, key).agg(
             F.count_if(F.col("erased_rows") > 0).alias("found"), F.count_if(F.col("erased_rows") == 0).alias("absent")
@@ -282,8 +284,14 @@ def erase_records(store: TableStore, table: str, record_ids: DataFrame, key: str
             result.warnings.append(f"{found.absent} records not found")
         if dry_run:
             return "success"
-        kept = data.join(doomed, [key, "tenant_id"], "left_anti").select(*data.columns)
-        change.replace(table, kept, partition_by)
+        if "tenant_id" in store.partition_columns(table, change.base):
+            # Only the tenant's own partitions are read and written again.
+            change.replace_partitions(
+                table, erasure.erase_records(mine, record_ids, key), lambda values: values.get("tenant_id") == tenant_id
+            )
+        else:
+            doomed = record_ids.select(key).withColumn("tenant_id", F.lit(tenant_id)).distinct()
+            change.replace(table, lookup_join(data, doomed, [key, "tenant_id"], "left_anti"))
         one = store.spark.createDataFrame([(tenant_id,)], "tenant_id string")
         log_audit(change, audit.events(one, "DATA_ERASURE", record_id=F.lit(table), details={
             k: F.lit(str(v)) for k, v in result.details.items()
@@ -311,6 +319,18 @@ def submit_requests(store: TableStore, submitted: DataFrame) -> DataFrame:
     return rejected
 
 
+def _replace_for_tenants(store: TableStore, change: Transaction, table: str, tenants: set[str] | None,
+                         rewrite: Callable[[DataFrame], DataFrame]) -> None:
+    """Rewrite only the partitions of the given tenants, where a table has them and the tenants are few enough to list."""
+    data = store.read(table, change.base)
+    by_tenant = "tenant_id" in store.partition_columns(table, change.base)
+    if not by_tenant or tenants is None or len(tenants) > MAX_LISTED_TENANTS:
+        change.replace(table, rewrite(data))
+        return
+    mine = data.where(F.col("tenant_id").isin(*tenants))
+    change.replace_partitions(table, rewrite(mine), lambda values: values.get("tenant_id") in tenants)
+
+
 def execute_requests(store: TableStore, tables: Mapping[str, list[str]], *, scope: str = "owner",
                      dry_run: bool = False) -> JobResult:
     """Execute every PENDING request: null its fields in ``tables`` and delete its tokens, all or nothing (JOB-4).
@@ -330,11 +350,14 @@ def execute_requests(store: TableStore, tables: Mapping[str, list[str]], *, scop
         result.records_processed = pending.count()
         if dry_run or result.records_processed == 0:
             return "success"
+        tenants = {r.tenant_id for r in pending.select("tenant_id").distinct().limit(MAX_LISTED_TENANTS + 1).collect()}
         for table, fields in tables.items():
-            change.replace(table, erasure.erase_fields(store.read(table, change.base), pending, fields))
+            _replace_for_tenants(store, change, table, tenants, lambda rows: erasure.erase_fields(rows, pending, fields))
         if VAULT_TABLE in store.tables():
-            held = store.read(VAULT_TABLE, change.base)
-            change.replace(VAULT_TABLE, erasure.erase_tokens(held, pending, scope))
+            _replace_for_tenants(
+                store, change, VAULT_TABLE, tenants if scope == "owner" else None,
+                lambda rows: erasure.erase_tokens(rows, pending, scope),
+            )
         executed = erasure.outcome(pending, F.lit(0))
         now = F.current_timestamp()
         started = pending.select("request_id", F.lit("IN_PROGRESS").alias("status"), now.alias("ts"),
@@ -366,12 +389,19 @@ def store_tokens(store: TableStore, values: DataFrame, created_at: object, ttl_s
     return observed(seen, "n")
 
 
-def expire_audit(store: TableStore, as_of: object, retention_days: int | None) -> None:
+def expire_audit(store: TableStore, as_of: datetime, retention_days: int | None) -> None:
     """Rewrite the audit table without events past the retention period and log the purge per tenant (AUD-8)."""
     if retention_days is None:
         return
     with store.transaction() as change:
         current = store.read(AUDIT_TABLE, change.base)
         purged = audit.expired(current, as_of, retention_days).groupBy("tenant_id").agg(F.count("*").alias("n"))
-        change.replace(AUDIT_TABLE, audit.retained(current, as_of, retention_days), AUDIT_PARTITIONS)
-        log_audit(change, audit.events(purged, "AUDIT_RETENTION_PURGE", details={"purged_events": F.col("n")}))
+        # Days before the cutoff lose their folders, days after it keep their files; only the cutoff's day is written again.
+        last_day = (as_of - timedelta(days=retention_days)).date()
+        boundary = audit.retained(current.where(F.col("dt") == F.lit(last_day)), as_of, retention_days)
+        change.replace_partitions(AUDIT_TABLE, boundary, lambda values: values["dt"] <= last_day.isoformat())
+        purges = change.new_folder("purges")
+        purged.write.parquet(purges)
+        counted = store.spark.read.schema("tenant_id string, n long").parquet(purges)
+    with store.transaction() as change:
+        log_audit(change, audit.events(counted, "AUDIT_RETENTION_PURGE", details={"purged_events": F.col("n")}))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,10 +58,21 @@ MESSAGES = _table(
 )
 
 
+def moment(value: object) -> Column:
+    """A point in time as an expression. A naive ``datetime`` is UTC, whatever the time zone of the driver's machine."""
+    if isinstance(value, Column):
+        return value
+    if isinstance(value, datetime):
+        if value.tzinfo is not None:
+            value = value.astimezone(timezone.utc).replace(tzinfo=None)
+        value = value.isoformat(sep=" ")
+    return F.lit(value).cast("timestamp_ntz")
+
+
 def typed_literal(df: DataFrame, column: str, value: object) -> Column:
     """``value`` in the type of ``column``, so the comparison folds and reaches the parquet scan.
 
     Comparing a TIMESTAMP_NTZ column with a TIMESTAMP literal would cast the column and lose the pushdown.
     """
-    literal = value if isinstance(value, Column) else F.lit(value)
+    literal = moment(value) if isinstance(value, (Column, datetime)) else F.lit(value)
     return literal.cast(df.schema[column].dataType)

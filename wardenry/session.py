@@ -21,8 +21,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
-# A rule or policy table larger than this is joined by shuffle, never by broadcast.
+# A rule or policy table with more rows or characters than this is joined by shuffle, never by broadcast.
 BROADCAST_ROW_BOUND = 20_000
+BROADCAST_TEXT_BOUND = 32_000_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -71,11 +72,13 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 
 
 def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Hint a broadcast only after counting that the side stays within ``bound`` rows.
+    """Hint a broadcast only after measuring that the side stays within ``bound`` rows and the text bound.
 
-    Beyond the bound the side is returned as it is, and the join shuffles both sides.
+    Beyond either the side is returned as it is, and the join shuffles both sides.
     """
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    length = F.length(F.to_json(F.struct(*df.columns)))
+    rows, text = df.limit(bound + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
+    return F.broadcast(df) if rows <= bound and text <= BROADCAST_TEXT_BOUND else df
 
 
 def observed(observation: Observation, name: str) -> int:
