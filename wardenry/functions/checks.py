@@ -15,12 +15,12 @@ def required_fields(rules: Mapping[str, object]) -> list[str]:
     return [name for name, rule in rules.items() if isinstance(rule, Mapping) and rule.get("required", False)]
 
 
-def json_value(record: Column, field: str) -> Column:
-    """Text of a top-level field, NULL when it is null or absent; nested values as JSON text."""
-    if field and not set(field) & {"'", "?"}:
-        return F.get_json_object(record, f"$['{field}']")
-    # The path syntax cannot name such a field.
-    return F.from_json(record, "map<string,string>")[field]
+def parse_record(record: Column) -> Column:
+    """Top-level keys and value texts of a JSON object; a null value stays a key. NULL when the text is not an object.
+
+    Checks and fields all read this one map, so that a record is parsed once whatever the number of its fields.
+    """
+    return F.from_json(record, "map<string,string>")
 
 
 def record_kind(record: Column) -> Column:
@@ -51,16 +51,15 @@ def _field_errors(states: Iterable[tuple[str, Column, Column]]) -> Column:
     return F.array_compact(F.array(*found)).cast(ERROR_TYPE)
 
 
-def json_errors(record: Column, fields: list[str]) -> Column:
-    """All errors of one raw record. A key that is absent and a key that is null are different errors."""
-    keys = F.json_object_keys(record)
+def record_errors(parsed: Column, record: Column, fields: list[str]) -> Column:
+    """All errors of one record. A key that is absent and a key that is null are different errors."""
     per_field = _field_errors(
-        (f, ~F.array_contains(keys, f), json_value(record, f).isNull()) for f in fields
+        (f, ~F.map_contains_key(parsed, f), F.try_element_at(parsed, F.lit(f)).isNull()) for f in fields
     )
     structural = F.array(
         _error(None, "structural", F.concat(F.lit("Record must be dict, got "), record_kind(record)))
     ).cast(ERROR_TYPE)
-    return F.when(keys.isNull(), structural).otherwise(per_field)
+    return F.when(parsed.isNull(), structural).otherwise(per_field)
 
 
 def column_errors(columns: list[str], fields: list[str]) -> Column:
@@ -70,6 +69,6 @@ def column_errors(columns: list[str], fields: list[str]) -> Column:
     )
 
 
-def missing_keys(record: Column, fields: Column) -> Column:
+def missing_keys(parsed: Column, fields: Column) -> Column:
     """Schema fields that are not keys of the record; NULL when the record is not an object."""
-    return F.array_except(fields, F.json_object_keys(record))
+    return F.array_except(fields, F.map_keys(parsed))

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardenry.functions.checks import column_errors, json_errors, required_fields
+from wardenry.functions.checks import column_errors, parse_record, record_errors, required_fields
 
 DEFAULT_THRESHOLD = 0.95
 
@@ -21,8 +21,10 @@ def _checked_threshold(threshold: float) -> float:
 def with_errors(df: DataFrame, rules: Mapping[str, object], record: str | None = None) -> DataFrame:
     """Add the ``errors`` array. With ``record`` the raw JSON column is checked, otherwise the table's own columns."""
     fields = required_fields(rules)
-    errors = json_errors(F.col(record), fields) if record else column_errors(df.columns, fields)
-    return df.withColumn("errors", errors)
+    if record is None:
+        return df.withColumn("errors", column_errors(df.columns, fields))
+    parsed = df.withColumn("_parsed", parse_record(F.col(record)))
+    return parsed.withColumn("errors", record_errors(F.col("_parsed"), F.col(record), fields)).drop("_parsed")
 
 
 def error_table(checked: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardenry import schemas as S
-from wardenry.functions.checks import missing_keys
+from wardenry.functions.checks import missing_keys, parse_record
 from wardenry.operators.conformance import violations
 from wardenry.session import broadcast_if_small
 
@@ -52,9 +52,13 @@ def field_sets(schemas: DataFrame) -> DataFrame:
 
 
 def check_presence(records: DataFrame, fields: list[str], record: str = "record") -> DataFrame:
-    """Every field must be a key, null or not. Adds ``missing_fields`` (NULL: not an object) and ``valid``."""
-    missing = missing_keys(F.col(record), F.array(*[F.lit(f) for f in fields]))
-    return records.withColumn("missing_fields", missing).withColumn(
+    """Every field must be a key, null or not.
+
+    Adds ``parsed`` (the record as a map), ``missing_fields`` (NULL: not an object) and ``valid``.
+    """
+    parsed = records.withColumn("parsed", parse_record(F.col(record)))
+    missing = missing_keys(F.col("parsed"), F.array(*[F.lit(f) for f in fields]))
+    return parsed.withColumn("missing_fields", missing).withColumn(
         "valid", F.coalesce(F.size("missing_fields") == 0, F.lit(False))
     )
 
@@ -67,16 +71,17 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 def check_presence_by_schema(records: DataFrame, schemas: DataFrame, record: str = "record") -> DataFrame:
     """Presence check where each record names its own ``schema_id``."""
     joined = records.join(broadcast_if_small(field_sets(schemas)), "schema_id", "left")
-    missing = missing_keys(F.col(record), F.col("fields"))
-    return joined.withColumn("missing_fields", missing).withColumn(
+    parsed = joined.withColumn("parsed", parse_record(F.col(record)))
+    missing = missing_keys(F.col("parsed"), F.col("fields"))
+    return parsed.withColumn("missing_fields", missing).withColumn(
         "problem",
         F.when(F.col("fields").isNull(), F.concat(F.lit("Schema not found: "), "schema_id"))
-        .when(F.json_object_keys(F.col(record)).isNull(), "Expected dict")
+        .when(F.col("parsed").isNull(), "Expected dict")
         .when(
             F.size("missing_fields") > 0,
             F.concat(F.lit("Missing required fields: "), F.array_join(F.array_sort("missing_fields"), ", ")),
         ),
-    ).drop("fields")
+    ).drop("fields", "parsed")
 
 
 def definition_violations(schemas: DataFrame) -> DataFrame:

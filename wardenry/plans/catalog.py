@@ -8,7 +8,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenry.functions import checks
 from wardenry.functions import masking as mk
 from wardenry.operators import (
     audit, compliance, conformance, dml, erasure, lineage, masking, metrics, quality, reconcile, registry, tenancy, vault,

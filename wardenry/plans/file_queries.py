@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardenry import schemas as S
-from wardenry.functions.checks import json_value
 from wardenry.operators import erasure, masking, registry, tenancy
 from wardenry.plans import jobs, runs, steps
 from wardenry.plans.bindings import table, view
@@ -51,7 +50,7 @@ FROM ({_MISSING_SQL}) m WHERE is_object AND NOT no_email AND NOT no_ssn"""
 def job1_projection(spark, sf):
     checked = registry.check_presence(view(spark, sf, "kyc_json"), list(KYC_RULES))
     valid, _ = registry.split_valid(checked)
-    columns = [json_value(F.col("record"), f).alias(f) for f in KYC_RULES]
+    columns = [F.try_element_at("parsed", F.lit(f)).alias(f) for f in KYC_RULES]
     return masking.mask_table(valid.select(*columns, "tenant_id"), KYC_RULES)
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardenry import schemas as S
-from wardenry.functions.checks import json_value
 from wardenry.functions.masking import mask_value
 from wardenry.operators import audit, compliance, erasure, lineage, quality, vault
 from wardenry.operators.joins import lookup_join
@@ -106,7 +105,7 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
         for name, rule in rules.items():
             if name == "tenant_id":
                 continue
-            raw = json_value(F.col("record"), name)
+            raw = F.try_element_at("parsed", F.lit(name))
             strategy = field_strategy(rule)
             masked = mask_value(raw, _TEXT, strategy, name, rule.get("include_in_hash", True)) if strategy else raw
             fields.append(F.when(valid, masked).alias(name))
