@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from wardenry.operators import erasure, vault
+from wardenry.operators.percentile import exact_percentiles
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -108,3 +109,22 @@ def test_only_needed_columns_are_read(spark):
     assert "c_mktsegment" in text
     assert re.search(r"ReadSchema: struct<event_type:string>", plan(entry.queries()["aud6_count"](spark, SF_DIR))) is None
     assert "ReadSchema: struct<>" in plan(entry.queries()["aud6_count"](spark, SF_DIR))
+
+
+def test_hot_group_of_percentiles_is_split(spark, monkeypatch):
+    monkeypatch.setattr("wardenry.operators.percentile.FEW_GROUPS", 1)
+    many_tasks = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    with settings(spark, **SKEW, **many_tasks):
+        rows = spark.range(0, 60_000, 1, 8).select(
+            F.when(F.col("id") < 30_000, 0).otherwise(F.col("id") % 300).alias("g"), F.col("id").cast("double").alias("v"))
+        out = exact_percentiles(rows, ["g"], "v", [0.5], 16)
+        assert "skew=true" in final_plan(out)
+        # Group 0: the first 30,000 ids and every 300th of the others.
+        members = list(range(30_000)) + [i for i in range(30_000, 60_000) if i % 300 == 0]
+        assert out.where("g = 0").first().percentile == members[int(len(members) * 0.5)]
+
+
+def test_schema_lookup_is_broadcast_when_small(spark):
+    text = plan(entry.queries()["sch3_multi"](spark, SF_DIR))
+    # The other join only picks the last registrations within the schema table.
+    assert "BroadcastHashJoin" in text

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from wardenry.functions.masking import STRATEGIES
 
+# Fixed values.
 AUDIT_STATUSES = ("SUCCESS", "FAILURE")
 ERASURE_STATUSES = ("PENDING", "IN_PROGRESS", "COMPLETE", "FAILED")
 CONNECTOR_TYPES = ("s3", "gcs", "adls", "kafka", "pubsub", "postgresql", "mongodb", "snowflake")

@@ -11,6 +11,7 @@ from wardenry.operators.conformance import request_rules
 from wardenry.operators.joins import lookup_join
 from wardenry.schemas import moment
 
+# Fixed values.
 NEXT_STATES = {"PENDING": ("IN_PROGRESS",), "IN_PROGRESS": ("COMPLETE", "FAILED")}
 
 

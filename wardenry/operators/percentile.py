@@ -11,7 +11,8 @@ FEW_GROUPS = 1_000
 
 
 def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    condition = F.lit(True)
+    # The hash makes the right side, an aggregate on the keys, shuffle on its own, so that a hot group can be split.
+    condition = F.xxhash64(*[left[k] for k in keys]) == F.xxhash64(*[right[f"_{k}"] for k in keys])
     for key in keys:
         condition = condition & left[key].eqNullSafe(right[f"_{key}"])
     return condition

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wardenry import schemas as S
 from wardenry.functions.checks import missing_keys, parse_record
 from wardenry.operators.conformance import violations
+from wardenry.operators.joins import lookup_join
 from wardenry.session import broadcast_if_small
 
 _READ_KEYS = ("type", "required", "sensitive", "masking_strategy")
@@ -70,7 +71,7 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def check_presence_by_schema(records: DataFrame, schemas: DataFrame, record: str = "record") -> DataFrame:
     """Presence check where each record names its own ``schema_id``."""
-    joined = records.join(broadcast_if_small(field_sets(schemas)), "schema_id", "left")
+    joined = lookup_join(records, broadcast_if_small(field_sets(schemas)), ["schema_id"])
     parsed = joined.withColumn("parsed", parse_record(F.col(record)))
     missing = missing_keys(F.col("parsed"), F.col("fields"))
     return parsed.withColumn("missing_fields", missing).withColumn(

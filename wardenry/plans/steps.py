@@ -14,6 +14,7 @@ from wardenry.operators.conformance import CONNECTOR_TYPES
 from wardenry.plans.jobs import log_audit
 from wardenry.sources.versioned import TableStore
 
+# Fixed value.
 EXECUTE_RESOURCE = "pipeline:execute"
 STEP_RESULTS = "step int, connector_type string, operation string, destination string, status string, records long"
 
