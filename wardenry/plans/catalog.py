@@ -134,6 +134,19 @@ def msk5_complex(spark, sf):
     return masking.mask_table(table(spark, sf, "embeddings"), rule)
 
 
+@query("msk5_struct", [], """
+SELECT c_custkey, sha256('owner:{"key":' || CAST(c_custkey AS STRING) || ',"nation":' || CAST(c_nationkey AS STRING) || ',"note":null}') AS owner,
+  sha256('path:[' || CAST(c_nationkey AS STRING) || ',' || CAST(c_custkey AS STRING) || ']') AS path FROM customer""")
+def msk5_struct(spark, sf):
+    rows = table(spark, sf, "customer").select(
+        "c_custkey",
+        F.struct(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"), F.lit(None).cast("string").alias("note")).alias("owner"),
+        F.array("c_nationkey", "c_custkey").alias("path"),
+    )
+    rule = {"sensitive": True, "masking_strategy": "hash"}
+    return masking.mask_table(rows, {"owner": rule, "path": rule})
+
+
 @query("msk6_strategies", ["kyc"], """
 SELECT segment AS schema_id, count(*) AS fields, count(*) FILTER (WHERE strategy = 'hash') AS hashed,
        count(*) FILTER (WHERE strategy = 'redact') AS redacted, count(*) FILTER (WHERE fell_back) AS fell_back
