@@ -35,7 +35,7 @@ def test_intake_splits_valid_and_rejected(spark):
 def test_state_machine(spark):
     log = [("a", "PENDING", T0), ("b", "PENDING", T0), ("b", "IN_PROGRESS", T0 + timedelta(1)), ("c", "PENDING", T0),
            ("c", "IN_PROGRESS", T0), ("c", "COMPLETE", T0)]
-    states = spark.createDataFrame([(*r, None) for r in log], S.ERASURE_STATES.fieldNames() and "request_id string, status string, ts timestamp, error_message string")
+    states = spark.createDataFrame([(*r, None) for r in log], S.ERASURE_STATES)
     assert {r.request_id: r.status for r in erasure.current_states(states).collect()} == {"a": "PENDING", "b": "IN_PROGRESS", "c": "COMPLETE"}
     proposed = spark.createDataFrame([("a", "IN_PROGRESS"), ("a", "COMPLETE"), ("b", "FAILED"), ("c", "IN_PROGRESS"), ("z", "IN_PROGRESS")], "request_id string, status string")
     found = {(r.request_id, r.status): r.problem for r in erasure.judge_transitions(states, proposed).collect()}

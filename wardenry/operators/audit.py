@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardenry import schemas as S
 from wardenry.operators.conformance import AUDIT_STATUSES
 from wardenry.schemas import moment, typed_literal
 
@@ -77,6 +76,3 @@ def expired(audit: DataFrame, as_of: object, retention_days: int) -> DataFrame:
         raise ValueError("retention_days must not be negative")
     cutoff = typed_literal(audit, "ts", as_of) - F.make_dt_interval(days=F.lit(retention_days))
     return audit.where(F.col("ts") < cutoff)
-
-
-AUDIT_SCHEMA = S.AUDIT
