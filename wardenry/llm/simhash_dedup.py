@@ -114,12 +114,16 @@ def chain_holds(difference: Column) -> Column:
 
 
 def _long(mask: int) -> Column:
-    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+    return F.lit(_signed(mask)).cast("long")
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
-    table = F.array(*(F.struct(F.lit(n).alias("n"), _long(m).alias("m")) for n, m in enumerate(masks)))
-    return fps.select("fp", F.explode(table).alias("mask")).select("fp", F.col("mask.n").alias("mask"), F.col("fp").bitwiseAND(F.col("mask.m")).alias("key"))
+    table = F.array(*(_long(m) for m in masks))
+    return fps.select("fp", F.explode(table).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -129,9 +133,8 @@ def links(fps: DataFrame) -> DataFrame:
     refined by ``THRESHOLD + 1`` longer ones each, again and again, until none is too full. So no link is lost, and the pairs that
     are tried grow with the rows, however many fingerprints lie close together. A pair may come several times.
     """
-    masks, left, found = first_masks(), fps.select("fp"), []
+    keyed, found = _keyed(fps.select("fp"), first_masks()), []
     while True:
-        keyed = _keyed(left, masks) if "mask" not in left.columns else left
         sizes = frozen(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
         fit = keyed.join(sizes.where(F.col("rows") <= BUCKET).drop("rows"), ["mask", "key"])
         full = fit.groupBy("mask", "key").agg(F.sort_array(F.collect_list("fp")).alias("all"))
@@ -139,15 +142,13 @@ def links(fps: DataFrame) -> DataFrame:
         apart = F.col("a").bitwiseXOR(F.col("b"))
         found.append(frozen(pairs.where(chain_holds(apart)).where(F.bit_count(apart) <= THRESHOLD), "pairs"))
         wide = sizes.where(F.col("rows") > BUCKET)
-        if wide.isEmpty():
+        # Only the masks of full signatures come to the driver, never their fingerprints: a few numbers of a fixed family.
+        over = [r["mask"] for r in wide.select("mask").distinct().collect()]
+        if not over:
             break
-        # Masks of full signatures alone are refined: a bounded list of numbers.
-        over = sorted(r["mask"] for r in wide.select("mask").distinct().collect())
-        finer = [(n, m) for n in over for m in refined(masks[n])]
-        masks = [m for _, m in finer]
-        table = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(o).alias("o"), _long(m).alias("m")) for n, (o, m) in enumerate(finer)))
-        crowded = keyed.join(wide.drop("rows"), ["mask", "key"]).select("fp", "mask", F.explode(table).alias("finer")).where("finer.o = mask")
-        left = frozen(crowded.select("fp", F.col("finer.n").alias("mask"), F.col("fp").bitwiseAND(F.col("finer.m")).alias("key")).distinct(), "finer")
+        finer = fps.sparkSession.createDataFrame([(m, _signed(f)) for m in over for f in refined(m & ((1 << 64) - 1))], "mask long, finer long")
+        crowded = keyed.join(wide.drop("rows"), ["mask", "key"]).select("fp", "mask").join(F.broadcast(finer), "mask")
+        keyed = frozen(crowded.select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key")).distinct(), "finer")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -17,7 +17,7 @@ SHARD_ROWS, LEADERS, SPLIT_ROWS = 2048, 128, 8192
 # A vector also joins the groups of up to two more leaders that are at most so many degrees farther than its nearest.
 OVERLAP_DEGREES = 4.0
 # A child with this share of its group's rows is no progress: the group is compared in blocks instead.
-NO_PROGRESS = 0.9
+NO_PROGRESS = 0.5
 # Graph: candidates of a node, its most edges, pruning factor, random candidates, width of the greedy search.
 POOL, DEGREE, ALPHA, RANDOM_EDGES, BEAM = 48, 32, 1.2, 4, 16
 
