@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from wardenry.session import scratch_path
 
@@ -28,6 +29,11 @@ def frozen(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def nullable(schema: StructType) -> StructType:
+    """The schema of rows that Python returns: any column may be null there."""
+    return StructType([StructField(f.name, f.dataType, True) for f in schema])
+
+
 def held_out(key: Column) -> Column:
     """True for one fifth of the keys: the unsigned CRC-32 of the key as text, modulo 5, is 0. A null key is learned from."""
     return F.coalesce(F.crc32(F.encode(key.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))

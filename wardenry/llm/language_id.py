@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardenry.llm.common import held_out
+from wardenry.llm.common import held_out, nullable
 
 ORDER = 3
 # Expected documents a language is learned from, and cells of the table of code lengths (four bytes each).
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id"
     that sorts first. Rows are judged each on its own, where they are read.
     """
     rows = docs.select(id_col, has_letter(F.col(text_col)).alias("__letter"), F.col(text_col).cast("string").alias("__text"))
-    schema = rows.select(id_col, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = nullable(rows.select(id_col, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

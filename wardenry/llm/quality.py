@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardenry.llm.common import held_out
+from wardenry.llm.common import held_out, nullable
 
 # Dimensions of the hashed text, expected rated documents that are learned from, and steps of the fit.
 DIMENSIONS = 1024
@@ -195,7 +195,7 @@ def grade_documents(docs: DataFrame, model: CumulativeLink | None, id_col: str =
     model everything is kept, with null grades.
     """
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("__text"))
-    schema = rows.select(id_col, F.lit(0.0).alias("expected_grade"), F.lit(0.0).alias("tail_probability"), F.lit(True).alias("kept")).schema
+    schema = nullable(rows.select(id_col, F.lit(0.0).alias("expected_grade"), F.lit(0.0).alias("tail_probability"), F.lit(True).alias("kept")).schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

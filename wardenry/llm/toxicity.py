@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardenry.llm.common import held_out
+from wardenry.llm.common import held_out, nullable
 
 # Labelled documents of each class that are learned from (expected), of at most so many characters.
 TRAIN_DOCS = 1200
@@ -279,7 +279,7 @@ def score_documents(docs: DataFrame, machine: Machine | None, id_col: str = "doc
     Null and empty texts, and all texts without a trained machine, score 0. Rows are scored where they are read.
     """
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("__text"))
-    schema = rows.select(id_col, F.lit(0.0).alias("score")).schema
+    schema = nullable(rows.select(id_col, F.lit(0.0).alias("score")).schema)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardenry.llm.common import components, frozen
+from wardenry.llm.common import components, frozen, nullable
 
 THRESHOLD = 0.93
 # Vectors of a shard, expected leaders that a larger group is split by, and vectors that one split task reads.
@@ -30,7 +30,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def unit_vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """(id, label, dim, v): v is the vector at length 1 as doubles, null if it is null, zero or holds null or non-finite components."""
     picked = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
-    schema = picked.select("id", "label", F.lit(0).cast("long").alias("dim"), F.lit(b"").alias("v")).schema
+    schema = nullable(picked.select("id", "label", F.lit(0).cast("long").alias("dim"), F.lit(b"").alias("v")).schema)
 
     def one(x: pa.ListScalar) -> bytes | None:
         if not x.is_valid or not len(x.values) or x.values.null_count:
