@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
+from wardenry.plans import catalog
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -21,7 +22,7 @@ def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF_DIR)
     sql = entry.oracle_sql().get(name)
