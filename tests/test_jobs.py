@@ -1,13 +1,13 @@
 from __future__ import annotations
 
 import hashlib
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from wardenry import schemas as S
-from wardenry.operators import compliance, conformance, erasure
+from wardenry.operators import compliance, conformance, erasure, vault
 from wardenry.plans import jobs, runs, steps
 from wardenry.streaming import ingest, windows
 
@@ -228,3 +228,50 @@ def test_windows_in_batch_and_stream(spark, tmp_path):
     query.awaitTermination()
     # The window still open at the watermark is held back.
     assert sorted(map(tuple, spark.table("win").collect())) == batch[:-1]
+
+
+def test_erased_values_leave_the_disk(spark, store):
+    people = spark.createDataFrame([("t1", "u1", "gone"), ("t1", "u2", "kept"), ("t2", "u1", "other")], "tenant_id string, user_id string, email string")
+    with store.transaction() as change:
+        change.append("people", people, ["tenant_id"])
+    jobs.submit_requests(store, spark.createDataFrame([("u1", "t1", "GDPR", ["email"])], "user_id string, tenant_id string, reason string, fields_to_delete array<string>"))
+    assert jobs.execute_requests(store, {"people": ["email"]}).details["deleted_folders"] == 1
+    raw = spark.read.option("recursiveFileLookup", "true").parquet(f"{store.root}/data/people")
+    assert sorted(str(r.email) for r in raw.collect()) == ["None", "kept", "other"]
+    assert store.read("people").count() == 3
+
+
+def test_vacuum_spares_running_writers_and_kept_versions(spark, store):
+    rows = spark.range(3)
+    with store.transaction() as change:
+        change.append("numbers", rows)
+    with store.transaction() as change:
+        change.replace("numbers", rows.limit(1))
+    running = f"{store.root}/data/numbers/part_of=running"
+    rows.write.parquet(running)
+    assert store.vacuum(keep_versions=2) == 0 and store.read("numbers", 1).count() == 3
+    assert store.vacuum() == 1 and spark.read.parquet(running).count() == 3 and store.read("numbers").count() == 1
+    assert store.vacuum(older_than=timedelta(seconds=-60)) == 1 and store.read("numbers").count() == 1
+
+
+def test_failed_transaction_leaves_no_folder(spark, store):
+    with pytest.raises(RuntimeError), store.transaction() as change:
+        change.append("numbers", spark.range(3))
+        raise RuntimeError
+    assert store._list("data/numbers") == []
+
+
+def test_colliding_and_ownerless_tokens(spark, store, monkeypatch):
+    people = spark.createDataFrame([("a", "t1", None), ("a", None, None)], "value string, tenant_id string, user_id string")
+    owner = ("tenant_id", "user_id")
+    assert jobs.store_tokens(store, people, datetime(2024, 1, 1), owner=owner) == 2
+    assert jobs.store_tokens(store, people, datetime(2024, 1, 2), owner=owner) == 0
+    monkeypatch.setattr(vault, "token_text", lambda value: F.lit(store.read("vault").first().token_id))
+    with pytest.raises(vault.TokenCollision):
+        jobs.store_tokens(store, people.withColumn("value", F.lit("b")), datetime(2024, 1, 3), owner=owner)
+
+
+def test_last_of_repeated_keys_counts(spark, store):
+    records = spark.createDataFrame([('{"id": "1", "id": "2"}',)], "record string")
+    jobs.ingest_records(store, records, {"id": {"required": True}}, "people", source_path="s3://x", tenant_id="t")
+    assert store.read("people").first().id == "2"

@@ -121,3 +121,15 @@ def test_registration(spark):
 def test_names(spark):
     row = spark.range(1).select(tenancy.object_key(F.lit("t"), F.lit("a/b")).alias("k"), tenancy.topic_name(F.lit("t"), F.lit("x")).alias("n")).first()
     assert tuple(row) == ("t/a/b", "t_x")
+
+
+def test_last_registration_counts(spark):
+    rows = [("t", True, ["*"], 1), ("t", True, ["b"], 2), ("s", True, ["*"], 1), ("s", False, ["*"], 1)]
+    tenants = spark.createDataFrame(
+        [(t, None, on, allowed, None, at) for t, on, allowed, at in rows],
+        "tenant_id string, name string, enabled boolean, allowed_resources array<string>, allowed_connector_types array<string>, registered_at int",
+    )
+    requests = spark.createDataFrame([("t", "a"), ("t", "b"), ("s", "a")], "tenant_id string, resource string")
+    decided = {(r.tenant_id, r.resource): r.decision for r in tenancy.decide(requests, tenants).collect()}
+    assert decided == {("t", "a"): "deny", ("t", "b"): "allow", ("s", "a"): "deny"}
+    assert tenancy.decide(requests, tenants).count() == 3 and tenancy.matching_patterns(requests, tenants).count() == 3

@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardenry import schemas as S
 from wardenry.operators import vault
@@ -73,5 +74,8 @@ def test_collisions_are_found(spark):
     held = spark.createDataFrame([("token_1", "a"), ("token_1", "b"), ("token_2", "c"), ("token_2", "c")], "token_id string, value string")
     assert [r.token_id for r in vault.collisions(held).collect()] == ["token_1"]
     with pytest.raises(vault.TokenCollision):
-        vault.require_no_collisions(held)
-    vault.require_no_collisions(held.where("token_id = 'token_2'"))
+        vault.require_no_collisions(held, held.limit(0))
+    one = held.where("token_id = 'token_2'")
+    vault.require_no_collisions(one, one)
+    with pytest.raises(vault.TokenCollision):
+        vault.require_no_collisions(one.withColumn("value", F.lit("another")), one)

@@ -23,6 +23,12 @@ def parse_record(record: Column) -> Column:
     return F.from_json(record, "map<string,string>")
 
 
+def field_value(parsed: Column, name: str) -> Column:
+    """Value text of a key; of a repeated key the last value, as JSON parsers keep it. NULL when absent or null."""
+    place = F.nullif(F.array_position(F.reverse(F.map_keys(parsed)), name), F.lit(0))
+    return F.try_element_at(F.map_values(parsed), (-place).cast("int"))
+
+
 def record_kind(record: Column) -> Column:
     """Name of what a record text holds when it is not an object."""
     text = F.ltrim(record)
@@ -54,7 +60,7 @@ def _field_errors(states: Iterable[tuple[str, Column, Column]]) -> Column:
 def record_errors(parsed: Column, record: Column, fields: list[str]) -> Column:
     """All errors of one record. A key that is absent and a key that is null are different errors."""
     per_field = _field_errors(
-        (f, ~F.map_contains_key(parsed, f), F.try_element_at(parsed, F.lit(f)).isNull()) for f in fields
+        (f, ~F.map_contains_key(parsed, f), field_value(parsed, f).isNull()) for f in fields
     )
     structural = F.array(
         _error(None, "structural", F.concat(F.lit("Record must be dict, got "), record_kind(record)))

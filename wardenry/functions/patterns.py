@@ -12,9 +12,9 @@ _META = r"([\\.^$|(){}+*?\[\]\-&~#])"
 
 
 def _glob_part(part: Column) -> Column:
-    inner = F.regexp_replace(F.substring(part, 2, 1_000_000), r"\]$", "")
+    inner = F.regexp_replace(F.substr(part, F.lit(2)), r"\]$", "")
     negated = inner.startswith("!")
-    members = F.when(negated, F.substring(inner, 2, 1_000_000)).otherwise(inner)
+    members = F.when(negated, F.substr(inner, F.lit(2))).otherwise(inner)
     # Inside a Java class these would be set operators or nested classes.
     members = F.regexp_replace(members, r"([\\\[\]&^])", r"\\$1")
     return (
@@ -33,7 +33,7 @@ def glob_regex(pattern: Column) -> Column:
 
 def matches(resource: Column, pattern: Column) -> Column:
     """Equal, or matched by the glob, or matched from the start by the expression after ``regex:``."""
-    anchored = F.concat(F.lit(r"\A(?:"), F.substring(pattern, len(REGEX_PREFIX) + 1, 1_000_000), F.lit(")"))
+    anchored = F.concat(F.lit(r"\A(?:"), F.substr(pattern, F.lit(len(REGEX_PREFIX) + 1)), F.lit(")"))
     return (
         (pattern == resource)
         | F.when(pattern.rlike(r"[*?\[]"), F.call_function("rlike", resource, glob_regex(pattern))).otherwise(False)

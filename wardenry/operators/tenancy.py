@@ -22,6 +22,19 @@ def check_ids(df: DataFrame, tenant_id: str = "tenant_id") -> DataFrame:
     return df.withColumn("denial_reason", id_denial(df, tenant_id))
 
 
+def latest_registrations(tenants: DataFrame) -> DataFrame:
+    """One row per tenant: the newest by ``registered_at``, where the table has it.
+
+    Of registrations that are equally new a disabled one stays, then the one whose JSON text is greatest, so that a
+    request has one decision and reruns agree.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in tenants.columns])
+    newest = [F.col("registered_at")] if "registered_at" in tenants.columns else []
+    order = F.struct(*newest, (~F.coalesce("enabled", F.lit(True))).alias("disabled"), F.to_json(row).alias("text"))
+    last = tenants.groupBy("tenant_id").agg(F.max_by(row, order).alias("_row"))
+    return last.select(*[F.col("_row")[c].alias(c) for c in tenants.columns])
+
+
 def compile_policies(tenants: DataFrame) -> DataFrame:
     """Sort every allow-list into exact names, plain prefixes and regular expressions, once per tenant.
 
@@ -33,7 +46,7 @@ def compile_policies(tenants: DataFrame) -> DataFrame:
     is_glob = lambda p: p.rlike(r"[*?\[]") & ~is_prefix(p)
     anchored = F.transform(
         F.filter(listed, is_regex),
-        lambda p: F.concat(F.lit(r"\A(?:"), F.substring(p, len(pt.REGEX_PREFIX) + 1, 1_000_000), F.lit(")")),
+        lambda p: F.concat(F.lit(r"\A(?:"), F.substr(p, F.lit(len(pt.REGEX_PREFIX) + 1)), F.lit(")")),
     )
     return tenants.select(
         "tenant_id", "enabled", "allowed_connector_types",
@@ -55,7 +68,7 @@ def allowed(resource: Column) -> Column:
 
 def matching_patterns(requests: DataFrame, tenants: DataFrame, resource: str = "resource") -> DataFrame:
     """Each request with the patterns of its own tenant that match it. Equi-join on the tenant, no pattern pairs."""
-    lists = tenants.select("tenant_id", "allowed_resources")
+    lists = latest_registrations(tenants).select("tenant_id", "allowed_resources")
     joined = requests.join(broadcast_if_small(lists), "tenant_id")
     return joined.withColumn(
         "matched", F.filter("allowed_resources", lambda p: pt.matches(F.col(resource), p))
@@ -65,10 +78,10 @@ def matching_patterns(requests: DataFrame, tenants: DataFrame, resource: str = "
 def decide(requests: DataFrame, tenants: DataFrame, resource: str = "resource", connector_type: str | None = None) -> DataFrame:
     """Adds ``decision`` and ``reason``.
 
-    An invalid id is denied, an unregistered tenant is allowed, a disabled one denied, an empty list allows all,
+    The last registration of a tenant counts. An invalid id is denied, an unregistered tenant is allowed, a disabled one denied, an empty list allows all,
     otherwise some pattern must match. With ``connector_type`` the tenant's connector allow-list must hold too.
     """
-    policies = broadcast_if_small(compile_policies(tenants).withColumn("_registered", F.lit(True)))
+    policies = broadcast_if_small(compile_policies(latest_registrations(tenants)).withColumn("_registered", F.lit(True)))
     judged = check_ids(requests).join(policies, "tenant_id", "left")
     refusal = (
         F.when(F.col("denial_reason").isNotNull(), F.col("denial_reason"))

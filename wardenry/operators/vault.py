@@ -23,7 +23,7 @@ def new_tokens(values: DataFrame, vault: DataFrame, created_at: object, ttl_seco
     """
     if ttl_seconds is not None and ttl_seconds < 0:
         raise ValueError("ttl_seconds must not be negative")
-    keys = ["token_id", *owner]
+    keys = ["token_id", "value", *owner]
     created = moment(created_at).cast("timestamp")
     expires = created + F.make_dt_interval(secs=F.lit(ttl_seconds)) if ttl_seconds is not None else F.lit(None).cast("timestamp")
     distinct = (
@@ -32,8 +32,10 @@ def new_tokens(values: DataFrame, vault: DataFrame, created_at: object, ttl_seco
         .distinct()
         .withColumn("token_id", token_text(F.col("value")))
     )
-    known = vault.select(*keys)
-    return distinct.join(known, keys, "left_anti").select(
+    # Value and token both count: a new value with a token that is held for another must stay, to be found as a collision.
+    known = vault.select(*[F.col(k).alias(f"_known_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys]
+    return distinct.join(known, same, "left_anti").select(
         "token_id", "value", created.alias("created_at"), expires.alias("expires_at"), *owner
     )
 
@@ -48,8 +50,11 @@ def collisions(vault: DataFrame) -> DataFrame:
     )
 
 
-def require_no_collisions(vault: DataFrame) -> None:
-    clash = collisions(vault).select("token_id").head()
+def require_no_collisions(fresh: DataFrame, held: DataFrame) -> None:
+    """Only new tokens can collide: with each other, or with a held token of another value."""
+    taken = held.select(F.col("token_id").alias("_token"), F.col("value").alias("_held"))
+    other = (F.col("token_id") == F.col("_token")) & (F.col("value") != F.col("_held"))
+    clash = collisions(fresh).select("token_id").unionByName(fresh.join(taken, other, "left_semi").select("token_id")).head()
     if clash is not None:
         raise TokenCollision(f"token {clash.token_id} stands for more than one value")
 
@@ -59,12 +64,15 @@ def unexpired(vault: DataFrame, as_of: object) -> Column:
     return F.col("expires_at").isNull() | (F.col("expires_at") >= typed_literal(vault, "expires_at", as_of))
 
 
-def detokenise(refs: DataFrame, vault: DataFrame, as_of: object, token: str = "token_id") -> DataFrame:
-    """Value of every referenced token, with ``vault_error`` unknown or expired where there is none."""
+def detokenise(refs: DataFrame, vault: DataFrame, as_of: object, token: str = "token_id", owner: tuple[str, ...] = ()) -> DataFrame:
+    """Value of every referenced token, with ``vault_error`` unknown or expired where there is none.
+
+    With ``owner`` columns a token resolves only for references of an owner that still holds it.
+    """
     lookup = vault.select(
-        F.col("token_id").alias(token), F.col("value").alias("_value"), unexpired(vault, as_of).alias("_live")
-    ).groupBy(token).agg(F.max("_value").alias("_value"), F.max("_live").alias("_live"))
-    return lookup_join(refs, lookup, [token]).withColumn("value", F.when(F.col("_live"), F.col("_value"))).withColumn(
+        F.col("token_id").alias(token), *owner, F.col("value").alias("_value"), unexpired(vault, as_of).alias("_live")
+    ).groupBy(token, *owner).agg(F.max("_value").alias("_value"), F.max("_live").alias("_live"))
+    return lookup_join(refs, lookup, [token, *owner]).withColumn("value", F.when(F.col("_live"), F.col("_value"))).withColumn(
         "vault_error", F.when(F.col("_live").isNull(), "unknown").when(~F.col("_live"), "expired")
     ).drop("_value", "_live")
 

@@ -305,13 +305,28 @@ FROM kyc k LEFT JOIN requests r ON r.user_id = k.user_id AND r.tenant_id = k.ten
 def job4_erasure(spark, sf):
     store = _store(spark)
     with store.transaction() as change:
-        change.append("customers", view(spark, sf, "kyc").select("customer_id", "tenant_id", "user_id", "email", "ssn"))
-        change.append("vault", kyc_vault(spark, sf))
+        change.append("customers", view(spark, sf, "kyc").select("customer_id", "tenant_id", "user_id", "email", "ssn"), ["tenant_id"])
+        change.append("vault", kyc_vault(spark, sf), ["tenant_id"])
     jobs.submit_requests(store, erasure_requests(spark, sf))
     jobs.execute_requests(store, {"customers": ["email", "ssn"]})
     return store.read("customers").select("customer_id", "tenant_id", "email", "ssn")
 
 
+@query("job4_vacuum", ["kyc", "requests"], """
+SELECT k.customer_id, CASE WHEN list_contains(string_split(r.fields, ','), 'email') THEN NULL ELSE k.email END AS email,
+  CASE WHEN list_contains(string_split(r.fields, ','), 'ssn') THEN NULL ELSE k.ssn END AS ssn
+FROM kyc k LEFT JOIN requests r ON r.user_id = k.user_id AND r.tenant_id = k.tenant_id""")
+def job4_vacuum(spark, sf):
+    """Whatever files lie below the table after the erasure, read without the store."""
+    store = _store(spark)
+    with store.transaction() as change:
+        change.append("customers", view(spark, sf, "kyc").select("customer_id", "tenant_id", "user_id", "email", "ssn"), ["tenant_id"])
+    jobs.submit_requests(store, erasure_requests(spark, sf))
+    jobs.execute_requests(store, {"customers": ["email", "ssn"]})
+    files = spark.read.option("recursiveFileLookup", "true").parquet(f"{store.root}/data/customers")
+    return files.select("customer_id", "email", "ssn")
+
+
 @query("job4_states", ["requests"], "SELECT request_id, 'COMPLETE' AS status FROM requests")
 def job4_states(spark, sf):
     store = _store(spark)
@@ -436,7 +451,7 @@ def src9_consume(spark, sf):
 
 
 @query("met_windows", ["metrics"], """
-SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS window_us, name, count(*) AS "count", CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS "sum", min(value) AS "min", max(value) AS "max"
+SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS window_us, name, count(*) AS "count", round(sum(value), 2) AS "sum", min(value) AS "min", max(value) AS "max"
 FROM metrics GROUP BY 1, 2""")
 def met_windows(spark, sf):
     path = scratch_path(spark, "windows")
@@ -449,7 +464,7 @@ def met_windows(spark, sf):
     ).queryName(name).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.parquet(f"{path}/out").select(
-        F.unix_micros("window_start").alias("window_us"), "name", "count", "sum", "min", "max"
+        F.unix_micros("window_start").alias("window_us"), "name", "count", F.round("sum", 2).alias("sum"), "min", "max"
     )
 
 

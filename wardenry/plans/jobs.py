@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardenry import schemas as S
+from wardenry.functions.checks import field_value
 from wardenry.functions.masking import mask_value
 from wardenry.operators import audit, compliance, erasure, lineage, quality, vault
 from wardenry.operators.joins import lookup_join
@@ -26,7 +27,6 @@ from wardenry.sources.versioned import TableStore, Transaction, write_partitione
 AUDIT_TABLE, LINEAGE_TABLE, RUNS_TABLE = "audit", "lineage", "job_runs"
 REQUESTS_TABLE, STATES_TABLE, VAULT_TABLE = "erasure_requests", "erasure_states", "vault"
 AUDIT_PARTITIONS = ["tenant_id", "dt"]
-MAX_LISTED_TENANTS = 10_000
 _TEXT = T.StringType()
 
 
@@ -35,8 +35,9 @@ class QualityGateClosed(RuntimeError):
 
 
 def log_audit(change: Transaction, rows: DataFrame) -> None:
-
-    rows.write.partitionBy(*AUDIT_PARTITIONS).parquet(folder := change.new_folder(AUDIT_TABLE))
+    """Stage audit rows by tenant and day."""
+    folder = change.new_folder(AUDIT_TABLE)
+    write_partitioned(rows, folder, AUDIT_PARTITIONS)
     change.adopt(AUDIT_TABLE, folder, S.AUDIT, partition_by=AUDIT_PARTITIONS)
 
 
@@ -105,7 +106,7 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
         for name, rule in rules.items():
             if name == "tenant_id":
                 continue
-            raw = F.try_element_at("parsed", F.lit(name))
+            raw = field_value(F.col("parsed"), name)
             strategy = field_strategy(rule)
             masked = mask_value(raw, _TEXT, strategy, name, rule.get("include_in_hash", True)) if strategy else raw
             fields.append(F.when(valid, masked).alias(name))
@@ -297,7 +298,14 @@ def erase_records(store: TableStore, table: str, record_ids: DataFrame, key: str
         }))
         return "warning" if found.absent else "success"
 
-    return _run(store, result, "DATA_ERASURE", body, dry_run)
+    return _cleaned(store, _run(store, result, "DATA_ERASURE", body, dry_run), dry_run)
+
+
+def _cleaned(store: TableStore, result: JobResult, dry_run: bool) -> JobResult:
+    """After an erasure that was published, delete the replaced files, so that erased values are gone from disk."""
+    if not dry_run and result.status != "failure" and result.records_processed:
+        result.details = {**result.details, "deleted_folders": store.vacuum()}
+    return result
 
 
 def submit_requests(store: TableStore, submitted: DataFrame) -> DataFrame:
@@ -311,23 +319,25 @@ def submit_requests(store: TableStore, submitted: DataFrame) -> DataFrame:
         change.append(STATES_TABLE, written.select(
             "request_id", "status", F.col("created_at").alias("ts"), "error_message"
         ))
-        rows = erasure.submission_events(written)
-        events_folder = change.new_folder(AUDIT_TABLE)
-        write_partitioned(rows, events_folder, AUDIT_PARTITIONS)
-        change.adopt(AUDIT_TABLE, events_folder, S.AUDIT, partition_by=AUDIT_PARTITIONS)
+        log_audit(change, erasure.submission_events(written))
     return rejected
 
 
-def _replace_for_tenants(store: TableStore, change: Transaction, table: str, tenants: set[str] | None,
+def _replace_for_tenants(store: TableStore, change: Transaction, table: str, tenants: DataFrame | None,
                          rewrite: Callable[[DataFrame], DataFrame]) -> None:
-    """Rewrite only the partitions of the given tenants, where a table has them and the tenants are few enough to list."""
+    """Rewrite only the partitions of the given tenants, where a table has them; all of it for ``None``.
+
+    What comes to the driver are values of the table's own partitions, which the commit names anyway.
+    """
     data = store.read(table, change.base)
     by_tenant = "tenant_id" in store.partition_columns(table, change.base)
-    if not by_tenant or tenants is None or len(tenants) > MAX_LISTED_TENANTS:
+    if not by_tenant or tenants is None:
         change.replace(table, rewrite(data))
         return
-    mine = data.where(F.col("tenant_id").isin(*tenants))
-    change.replace_partitions(table, rewrite(mine), lambda values: values.get("tenant_id") in tenants)
+    held = data.select("tenant_id").distinct().join(tenants, "tenant_id", "left_semi")
+    affected = {r.tenant_id for r in held.collect()}
+    mine = data.join(tenants, "tenant_id", "left_semi").select(*data.columns)
+    change.replace_partitions(table, rewrite(mine), lambda values: values.get("tenant_id") in affected)
 
 
 def execute_requests(store: TableStore, tables: Mapping[str, list[str]], *, scope: str = "owner",
@@ -349,7 +359,7 @@ def execute_requests(store: TableStore, tables: Mapping[str, list[str]], *, scop
         result.records_processed = pending.count()
         if dry_run or result.records_processed == 0:
             return "success"
-        tenants = {r.tenant_id for r in pending.select("tenant_id").distinct().limit(MAX_LISTED_TENANTS + 1).collect()}
+        tenants = pending.select("tenant_id").distinct()
         for table, fields in tables.items():
             _replace_for_tenants(store, change, table, tenants, lambda rows: erasure.erase_fields(rows, pending, fields))
         if VAULT_TABLE in store.tables():
@@ -363,12 +373,10 @@ def execute_requests(store: TableStore, tables: Mapping[str, list[str]], *, scop
                                  F.lit(None).cast("string").alias("error_message"))
         ended = executed.select("request_id", "status", now.alias("ts"), "error_message")
         change.append(STATES_TABLE, started.unionByName(ended))
-        events_folder = change.new_folder(AUDIT_TABLE)
-        write_partitioned(erasure.execution_events(executed), events_folder, AUDIT_PARTITIONS)
-        change.adopt(AUDIT_TABLE, events_folder, S.AUDIT, partition_by=AUDIT_PARTITIONS)
+        log_audit(change, erasure.execution_events(executed))
         return "success"
 
-    return _run(store, result, "DATA_ERASURE", body, dry_run)
+    return _cleaned(store, _run(store, result, "DATA_ERASURE", body, dry_run), dry_run)
 
 
 def store_tokens(store: TableStore, values: DataFrame, created_at: object, ttl_seconds: int | None = None,
@@ -379,13 +387,14 @@ def store_tokens(store: TableStore, values: DataFrame, created_at: object, ttl_s
         fresh = vault.new_tokens(values, held, created_at, ttl_seconds, owner=owner)
         columns = [F.col(f.name) if f.name in fresh.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in S.VAULT]
         folder = change.new_folder(VAULT_TABLE)
-        seen = Observation()
-        fresh.select(*columns).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(folder)
-        if observed(seen, "n"):
-            staged = store.spark.read.schema(S.VAULT).parquet(folder)
-            vault.require_no_collisions(held.select("token_id", "value").unionByName(staged.select("token_id", "value")))
-            change.adopt(VAULT_TABLE, folder, S.VAULT)
-    return observed(seen, "n")
+        by = store.partition_columns(VAULT_TABLE, change.base) if VAULT_TABLE in store.tables() else ["tenant_id"]
+        write_partitioned(fresh.select(*columns), folder, by)
+        staged = store.spark.read.schema(S.VAULT).parquet(folder)
+        added = staged.count()
+        if added:
+            vault.require_no_collisions(staged, held)
+            change.adopt(VAULT_TABLE, folder, S.VAULT, partition_by=by)
+    return added
 
 
 def expire_audit(store: TableStore, as_of: datetime, retention_days: int | None) -> None:

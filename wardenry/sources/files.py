@@ -93,12 +93,13 @@ def landing_zone(spark: SparkSession, root: str, csv_columns: list[str], json_is
         )
     )
     try:
-        parquet = _reader(spark, "*.parquet").parquet(root)
+        parquet = _reader(spark, "*.parquet").option("mergeSchema", "true").parquet(root)
         parts.append(
             as_records(parquet, F.col("_metadata.file_path")).withColumn("malformed", F.lit(False))
         )
-    except AnalysisException:  # no parquet file to take a schema from
-        pass
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":  # there are parquet files
+            raise
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

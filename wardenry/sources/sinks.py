@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +33,13 @@ def align(df: DataFrame, target: T.StructType) -> tuple[DataFrame, list[str]]:
 
 
 def append(store: TableStore, table: str, df: DataFrame, target: T.StructType, partition_by: list[str] | None = None) -> int:
-    """Append rows in the declared schema and return how many the write itself counted. No rows, no new version."""
-    aligned, _ = align(df, target)
+    """Append rows in the declared schema and return how many the write itself counted. No rows, no new version.
+
+    Columns that the schema lacks are left out and named in a warning.
+    """
+    aligned, surplus = align(df, target)
+    if surplus:
+        warnings.warn(f"columns that {table} does not have were left out: {', '.join(surplus)}", stacklevel=2)
     counted = Observation()
     with store.transaction() as change:
         change.append(table, aligned.observe(counted, F.count(F.lit(1)).alias("n")), partition_by)

@@ -18,7 +18,7 @@ def windowed_metrics(metrics: DataFrame, window: str = "1 hour", watermark: str
         _timed(metrics, watermark)
         .groupBy(F.window("ts", window), "name")
         .agg(
-            F.count("*").alias("count"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("sum"),
+            F.count("*").alias("count"), F.sum(F.col("value").cast("double")).alias("sum"),
             F.min("value").alias("min"), F.max("value").alias("max"),
         )
         .select(F.col("window.start").alias("window_start"), "name", "count", "sum", "min", "max")
