@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardenry.llm.common import held_out, nullable
+from wardenry.session import broadcast_if_small
 
 ORDER = 3
 # Expected documents a language is learned from, and cells of the table of code lengths (four bytes each).
@@ -144,7 +145,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     )
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     share = F.lit(train_docs * float(1 << 20)) / F.col("rows")
-    drawn = rows.join(sizes, "lang").where(F.col("draw") < share).select("lang", "text")
+    # One row a language, as the trees hold: with a broadcast the corpus is not shuffled by its few languages.
+    drawn = rows.join(broadcast_if_small(sizes), "lang").where(F.col("draw") < share).select("lang", "text")
     counts = [(r["lang"], r["gram"], r["rows"]) for r in gram_counts(drawn).collect()]
     return build_trees(counts, cells) if counts else None
 
