@@ -52,6 +52,34 @@ def test_ingestion_fails_closed_without_a_schema(spark, store):
     assert store.read("audit").first().error_message == done.error_message
 
 
+def test_booleans_hash_as_in_typed_columns(spark, store):
+    rules = {"id": {}, "b": {"sensitive": True, "masking_strategy": "hash"}}
+    rows = records(spark, ("t", '{"id":"1","b":true}'), ("t", '{"id":"2","b":"true"}'), ("t", '{"id":"3","b":"x","b":false}'), ("t", '{"id":"4","b":"TRUE"}'))
+    jobs.ingest_records(store, rows, rules, "kyc", source_path="x")
+    got = {r.id: r.b for r in store.read("kyc").collect()}
+    assert got == {k: hashlib.sha256(f"b:{v}".encode()).hexdigest() for k, v in {"1": "True", "2": "true", "3": "False", "4": "TRUE"}.items()}
+
+
+def test_undeclared_keys_are_kept(spark, store):
+    rows = records(spark, ("t", '{"id":"1","x":1,"x":{"y":null},"tenant_id":"u"}'), ("t", '{"id":"2"}'), ("t", '{"id":"3","z":null}'))
+    jobs.ingest_records(store, rows, {"id": {}}, "kyc", source_path="x")
+    assert {r.id: r.extra for r in store.read("kyc").collect()} == {"1": {"x": '{"y":null}'}, "2": None, "3": {"z": None}}
+    done = jobs.ingest_records(store, rows, {"id": {}, "extra": {}}, "other", source_path="x")
+    assert done.status == "failure" and "other" not in store.tables()
+    assert jobs.ingest_records(store, rows.limit(0), {"id": {}, "extra": {}}, "other", source_path="x", extra="rest").status == "success"
+
+
+def test_a_message_is_ingested_once(spark, store):
+    def batch(*ids):
+        return spark.createDataFrame([("t", f'{{"id":"{i}"}}', i) for i in ids], "tenant_id string, record string, mid string")
+
+    for ids in (("a", "a", None), ("a", "b", None)):
+        jobs.ingest_records(store, batch(*ids), {"id": {}}, "kyc", source_path="x", message_id="mid")
+    assert sorted(r.id for r in store.read("kyc").collect()) == ["None", "None", "a", "b"]
+    assert jobs.ingest_records(store, batch("c"), {"id": {}}, "kyc", source_path="x", message_id="mid", dry_run=True).records_processed == 1
+    assert sorted(r.message_id for r in store.read("kyc_messages").collect()) == ["a", "b"]
+
+
 def test_breaker_stops_before_the_sink(spark, store):
     rows = records(spark, ("t1", GOOD), ("t1", "{}"))
     assert jobs.ingest_records(store, rows, RULES, "kyc", source_path="x", threshold=0.6).status == "failure"

@@ -23,12 +23,28 @@ def parse_record(record: Column) -> Column:
     return F.from_json(record, "map<string,string>")
 
 
-def field_value(parsed: Column, name: str) -> Column:
+def field_value(parsed: Column, name: str | Column) -> Column:
     """Value text of a key; of a repeated key the last value, as JSON parsers keep it. NULL when absent or null."""
     place = F.nullif(F.array_position(F.reverse(F.map_keys(parsed)), name), F.lit(0))
     return F.try_element_at(F.map_values(parsed), (-place).cast("int"))
 
 
+def typed_text(record: Column, parsed: Column, name: str) -> Column:
+    """Value text of a key as typed columns have it: booleans are ``True`` and ``False``, the strings ``true`` and ``false`` stay.
+
+    Only records with one of these texts in this field are parsed a second time, for the type of the value.
+    """
+    text = field_value(parsed, name)
+    kind = F.schema_of_variant(field_value(F.from_json(record, "map<string,variant>"), name))
+    return F.when(text.isin("true", "false"), F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)).otherwise(text)
+
+
+def other_values(parsed: Column, names: Iterable[str]) -> Column:
+    """Keys of a record beyond ``names`` with their value texts, of a repeated key the last; NULL when there are none."""
+    others = F.array_distinct(F.array_except(F.map_keys(parsed), F.array(*map(F.lit, names)).cast("array<string>")))
+    return F.when(F.size(others) > 0, F.map_from_arrays(others, F.transform(others, lambda key: field_value(parsed, key))))
+
+
 def record_kind(record: Column) -> Column:
     """Name of what a record text holds when it is not an object."""
     text = F.ltrim(record)

@@ -194,7 +194,7 @@ def snk5_transaction(spark, sf):
 def job1_kyc(spark, sf):
     store = _store(spark)
     jobs.ingest_records(store, view(spark, sf, "kyc_json"), KYC_RULES, "customers", source_path="s3://landing/kyc")
-    return store.read("customers")
+    return store.read("customers").drop("extra")
 
 
 LINE_RULES = {
@@ -218,7 +218,38 @@ def job1_volume(spark, sf):
     )
     store = _store(spark)
     jobs.ingest_records(store, records, LINE_RULES, "lines", source_path="s3://landing/lines")
-    return store.read("lines")
+    return store.read("lines").drop("extra")
+
+
+def _typed_records(spark, sf):
+    """Customers as records with a boolean, the same as a string, and a repeated key."""
+    rich = F.coalesce(F.col("c_acctbal") > 0, F.lit(False))
+    text = F.to_json(F.struct(F.col("c_custkey").alias("id"), rich.alias("rich"), rich.cast("string").alias("told")))
+    again = F.concat(F.regexp_replace(text, r"\}$", ""), F.lit(',"id":"again-'), F.col("c_custkey").cast("string"), F.lit('"}'))
+    return table(spark, sf, "customer").select(again.alias("record"), F.lit("tenant_0").alias("tenant_id"))
+
+
+_RICH_SQL = "CASE WHEN c_acctbal > 0 THEN {} ELSE {} END"
+
+
+@query("job1_types", [], f"""
+SELECT 'again-' || c_custkey AS id, sha256('rich:' || {_RICH_SQL.format("'True'", "'False'")}) AS rich,
+  sha256('told:' || {_RICH_SQL.format("'true'", "'false'")}) AS told FROM customer""")
+def job1_types(spark, sf):
+    """Booleans and their strings are hashed as different texts, and of a repeated key the last value counts."""
+    store, masked = _store(spark), {"sensitive": True, "masking_strategy": "hash"}
+    jobs.ingest_records(store, _typed_records(spark, sf), {"id": {"required": True}, "rich": masked, "told": masked}, "rich", source_path="s3://landing/rich")
+    return store.read("rich").select("id", "rich", "told")
+
+
+@query("job1_extra", [], f"""
+SELECT 'again-' || c_custkey AS id, {_RICH_SQL.format("'true'", "'false'")} AS rich, {_RICH_SQL.format("'true'", "'false'")} AS told, 2 AS others FROM customer""")
+def job1_extra(spark, sf):
+    """Keys that the schema does not declare are kept."""
+    store = _store(spark)
+    jobs.ingest_records(store, _typed_records(spark, sf), {"id": {"required": True}}, "rich", source_path="s3://landing/rich")
+    extra = F.col("extra")
+    return store.read("rich").select("id", extra["rich"].alias("rich"), extra["told"].alias("told"), F.size(extra).alias("others"))
 
 
 @query("job2_volume", [], "SELECT l_orderkey AS order_id, l_suppkey AS supplier_id, l_extendedprice AS amount FROM lineitem")
@@ -434,7 +465,26 @@ def job9_stream(spark, sf):
         ingest.message_records(stream), store, KYC_RULES, "customers", name=f"kyc-{path[-8:]}",
         checkpoint=f"{path}/checkpoint", source_path="kafka://kyc",
     ).awaitTermination()
-    return store.read("customers")
+    return store.read("customers").drop("extra")
+
+
+@query("job9_redelivered", [], """
+SELECT 'order-' || o_orderkey AS id, o_orderstatus AS status, 'tenant_0' AS tenant_id FROM orders""")
+def job9_redelivered(spark, sf):
+    """Every message is delivered in two batches, and stored once."""
+    path = scratch_path(spark, "redelivered")
+    key = F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))
+    record = F.to_json(F.struct(key.alias("id"), F.col("o_orderstatus").alias("status")))
+    sent = table(spark, sf, "orders").select(record.alias("value"), key.alias("message_id"), F.lit("tenant_0").alias("tenant_id"))
+    for _ in range(2):
+        sent.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", "1").parquet(f"{path}/in")
+    store = TableStore(spark, f"{path}/store")
+    ingest.start_ingestion(
+        ingest.message_records(stream), store, {"id": {"required": True}, "status": {}}, "orders", name=f"orders-{path[-8:]}",
+        checkpoint=f"{path}/checkpoint", source_path="kafka://orders", message_id="message_id",
+    ).awaitTermination()
+    return store.read("orders").select("id", "status", "tenant_id")
 
 
 @query("src9_consume", ["messages"], """

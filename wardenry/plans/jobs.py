@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardenry import schemas as S
-from wardenry.functions.checks import field_value
+from wardenry.functions.checks import field_value, other_values, typed_text
 from wardenry.functions.masking import mask_value
 from wardenry.operators import audit, compliance, erasure, lineage, quality, vault
 from wardenry.operators.joins import lookup_join
@@ -86,11 +86,16 @@ def source_name(path: str) -> str:
 
 def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, object], target: str, *, source_path: str,
                    tenant_id: str | None = None, threshold: float | None = None, dry_run: bool = False,
-                   mark: tuple[str, int] | None = None) -> JobResult:
+                   mark: tuple[str, int] | None = None, extra: str = "extra", message_id: str | None = None,
+                   redelivery_days: int = 7) -> JobResult:
     """Check, mask and append raw JSON records (JOB-1).
 
     The source is read once: accepted rows and rejected records go to two partitions of one write. Records of many
     tenants may come together in a ``tenant_id`` column; audit and lineage rows are then written per tenant.
+
+    Keys that the schema does not declare are kept, unmasked, in the map column ``extra``. With ``message_id`` (a column)
+    a message is ingested once: its id is published with its rows in ``{target}_messages``, by day, and left out when it
+    comes again within ``redelivery_days``. Records without an id are always taken.
     """
     result = JobResult("kyc_ingestion", tenant_id or "*")
 
@@ -99,7 +104,11 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
             raise ValueError("no schema is registered: records are not ingested unmasked")
         if tenant_id is None and "tenant_id" not in records.columns:
             raise ValueError("tenant_id is required when the records do not carry one")
+        if extra in rules:
+            raise ValueError(f"undeclared keys need a column of their own, {extra} is declared")
         owned = records if tenant_id is None else records.withColumn("tenant_id", F.lit(tenant_id))
+        if message_id is not None:
+            owned = _unseen(change, owned, f"{target}_messages", message_id, redelivery_days, dry_run)
         checked = check_presence(owned, list(rules))
         valid = F.col("valid")
         fields = []
@@ -108,8 +117,11 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
                 continue
             raw = field_value(F.col("parsed"), name)
             strategy = field_strategy(rule)
-            masked = mask_value(raw, _TEXT, strategy, name, rule.get("include_in_hash", True)) if strategy else raw
-            fields.append(F.when(valid, masked).alias(name))
+            if strategy:
+                text = typed_text(F.col("record"), F.col("parsed"), name)
+                raw = mask_value(text, _TEXT, strategy, name, rule.get("include_in_hash", True))
+            fields.append(F.when(valid, raw).alias(name))
+        fields.append(F.when(valid, other_values(F.col("parsed"), [*rules, "tenant_id"])).alias(extra))
         rows = checked.select(
             *fields,
             F.when(~valid, F.col("record")).alias("record"), F.when(~valid, F.col("missing_fields")).alias("missing_fields"),
@@ -133,7 +145,9 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
         if dry_run:
             return "success"
         columns = [name for name in rules if name != "tenant_id"]
-        accepted_schema = T.StructType([T.StructField(c, _TEXT) for c in [*columns, "tenant_id"]])
+        accepted_schema = T.StructType([
+            *(T.StructField(c, _TEXT) for c in columns), T.StructField(extra, T.MapType(_TEXT, _TEXT)), T.StructField("tenant_id", _TEXT),
+        ])
         rejected_schema = T.StructType([
             T.StructField("record", _TEXT), T.StructField("missing_fields", T.ArrayType(_TEXT)), T.StructField("tenant_id", _TEXT),
         ])
@@ -155,6 +169,20 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
     return _run(store, result, "KYC_INGESTION", body, dry_run)
 
 
+def _unseen(change: Transaction, records: DataFrame, table: str, message_id: str, days: int, dry_run: bool) -> DataFrame:
+    """Messages that were not published before, each once; their ids are staged with the batch."""
+    store, today = change.store, datetime.now().date()
+    fresh = records.where(F.col(message_id).isNotNull()).dropDuplicates([message_id])
+    if table in store.tables():
+        recent = store.read(table).where(F.col("dt") >= F.lit(today - timedelta(days=days)))
+        known = recent.select(F.col("message_id").alias("__known"))
+        fresh = fresh.join(known, F.col(message_id).cast("string") == F.col("__known"), "left_anti")
+    if not dry_run:
+        ids = fresh.select(F.col(message_id).cast("string").alias("message_id"), F.lit(today).alias("dt"))
+        change.append(table, ids, ["dt"])
+    return fresh.unionByName(records.where(F.col(message_id).isNull()))
+
+
 def _log_ingestion(change: Transaction, per_tenant: DataFrame, source_path: str, target: str, masks: bool) -> None:
     details = {
         "source_path": F.lit(source_path), "records_processed": F.col("passed"),

@@ -20,21 +20,22 @@ def message_records(messages: DataFrame) -> DataFrame:
 
 def start_ingestion(stream: DataFrame, store: TableStore, rules: Mapping[str, object], target: str, *, name: str,
                     checkpoint: str, source_path: str, tenant_id: str | None = None, threshold: float | None = None,
-                    available_now: bool = True, interval: str = "1 minute", message_id: str | None = None) -> StreamingQuery:
+                    available_now: bool = True, interval: str = "1 minute", message_id: str | None = None,
+                    redelivery_days: int = 7) -> StreamingQuery:
     """Ingest ``(record[, tenant_id])`` rows as they arrive.
 
     The number of each batch is committed together with its rows, so a batch that is delivered again after a crash is
-    skipped: at-least-once delivery, exactly-once tables. A batch below ``threshold`` stops the query unpublished.
+    skipped: at-least-once delivery, exactly-once tables. With ``message_id`` a message that the source itself delivers again,
+    in the same or a later batch within ``redelivery_days``, is stored once. A batch below ``threshold`` stops the query unpublished.
     """
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         done = store.progress(name)
         if done is not None and batch_id <= done:
             return
-        rows = batch if message_id is None else batch.dropDuplicates([message_id])
         outcome = ingest_records(
-            store, rows, rules, target, source_path=source_path, tenant_id=tenant_id, threshold=threshold,
-            mark=(name, batch_id),
+            store, batch, rules, target, source_path=source_path, tenant_id=tenant_id, threshold=threshold,
+            mark=(name, batch_id), message_id=message_id, redelivery_days=redelivery_days,
         )
         if outcome.status == "failure":
             raise RuntimeError(outcome.error_message)
