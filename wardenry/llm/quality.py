@@ -66,7 +66,7 @@ def features(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray:
     The square roots of the runs' shares, so that a long text weighs as much as a short one. Null and empty texts have no runs.
     """
     text = text or ""
-    runs, words, repeats, upper, distinct = np.zeros(dimensions), 0, 0, 0, set()
+    runs, words, repeats, upper = np.zeros(dimensions), 0, 0, 0
     last = None
     at = 0
     while at < len(text):
@@ -84,8 +84,6 @@ def features(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray:
             repeats += sum(map(eq, found, found[1:])) + (found[0] == last)
             upper += sum(map(str.isupper, found))
             last = found[-1]
-            if len(distinct) < 100_000:  # the share of distinct words of longer texts is taken over their beginning's words
-                distinct.update(found)
         at = end
     out = np.sqrt(runs / max(runs.sum(), 1.0))
     if words:
