@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardenry.llm.common import held_out, nullable
+from wardenry.session import broadcast_if_small
 
 # Labelled documents of each class that are learned from (expected), of at most so many characters.
 TRAIN_DOCS = 1200
@@ -235,7 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.when(F.col("toxic"), train_docs / sizes[True]).otherwise(2 * train_docs / sizes[False])
     drawn = rated.where(F.pmod(F.xxhash64("__rated"), F.lit(1 << 20)) < share * float(1 << 20))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= train_chars)
-    sample = sorted((r["toxic"], r["text"]) for r in rows.join(drawn, F.col("__id") == F.col("__rated")).select("toxic", "text").collect())
+    # The draw is small at any size of the corpus: broadcast after a count, so that no text is shuffled to find its label.
+    sample = sorted((r["toxic"], r["text"]) for r in rows.join(broadcast_if_small(drawn), F.col("__id") == F.col("__rated")).select("toxic", "text").collect())
     return learn([t for toxic, t in sample if toxic], [t for toxic, t in sample if not toxic])
 
 
