@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardenry.llm.common import held_out, nullable
+from wardenry.session import broadcast_if_small
 
 # Dimensions of the hashed text, expected rated documents that are learned from, and steps of the fit.
 DIMENSIONS = 1024
@@ -159,7 +160,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     if not total:
         return None
     drawn = rated.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(train_docs * float(1 << 20) / total)).select(F.col("id").alias("__rated"), "grade")
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(drawn, F.col("__id") == F.col("__rated")).select(F.col("grade").cast("long"), "text")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(broadcast_if_small(drawn), F.col("__id") == F.col("__rated")).select(F.col("grade").cast("long"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
