@@ -4,13 +4,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from wardenry.llm import queries, simhash_dedup
 from wardenry.llm.common import components
-from wardenry.llm.vector_dedup import audit_recall, near_vectors
+from wardenry.llm.vector_dedup import _block_task, audit_recall, near_vectors
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -140,6 +141,45 @@ def test_dense_core_and_copies(spark):
     assert all(got[i][0] <= count[i] for i in count)
 
 
+def chains_and_loose_groups(seed, chains=12, groups=4):
+    """Chains whose next but one is out of range, and groups of which few pairs are in range, under ids in random order."""
+    rng = np.random.default_rng(seed)
+    vectors = []
+    for n in range(chains):
+        a, b = np.linalg.qr(rng.normal(size=(24, 2)))[0].T
+        vectors += [np.cos(t) * a + np.sin(t) * b for t in np.radians(15 * np.arange(3 + n % 6))]
+    for _ in range(groups):
+        centre = rng.normal(size=24)
+        vectors += [centre + 0.3 * rng.normal(size=24) for _ in range(25)]
+    ids = rng.permutation(len(vectors))
+    return [(int(i), [float(a) for a in v], 1) for i, v in zip(ids, vectors)]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_chains_and_loose_groups_are_whole(spark, seed):
+    rows = chains_and_loose_groups(seed)
+    count, part = plain_vectors(rows)
+    assert len(set(part.values())) < len(rows) - 40
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (count[i], part[i], part[i] == i) for i in count}
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_block_links_keep_chains(blocks):
+    """Links 0-2, 2-3 and 3-1: neither end of 2-3 has the other as its smallest neighbour."""
+    at = {0: 0, 2: 15, 3: 30, 1: 45}
+    x = [np.array([np.cos(np.radians(at[n])), np.sin(np.radians(at[n]))]) for n in range(4)]
+    block = [0, 0, 1 % blocks, 0]
+    met = []
+    for one, two in [(0, 0)] if blocks == 1 else [(0, 0), (0, 1), (1, 1)]:
+        nodes = [n for n in range(4) if block[n] in (one, two)]
+        table = pa.table({"group": [7] * len(nodes), "one": [one] * len(nodes), "two": [two] * len(nodes), "node": nodes, "m": [1] * len(nodes), "v": [x[n].tobytes() for n in nodes],
+                          "core": [0] * len(nodes), "block": [block[n] for n in nodes], "homes": [[7]] * len(nodes)})
+        met += _block_task(0.93)((pa.scalar(7), pa.scalar(one), pa.scalar(two)), table).to_pylist()
+    assert set(parts(range(4), [(r["node"], r["peer"]) for r in met]).values()) == {0}
+    assert [sum(r["links"] for r in met if r["node"] == n) for n in range(4)] == [1, 1, 2, 2]
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.1], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [1.0, None], 1), (7, [nan, 1.0], 1), (8, [float("inf"), 1.0], 1),

@@ -221,8 +221,15 @@ def _shards(reps: DataFrame, threshold: float, shard_rows: int) -> tuple[DataFra
 _FOUND = "node long, links long, peer long"
 
 
+def _unite(part: np.ndarray, linked: np.ndarray) -> None:
+    """Nodes numbered ``linked`` and all that share a part with them become one part, named by its first number."""
+    named = np.unique(part[linked])
+    if len(named) > 1:
+        part[np.isin(part, named)] = named[0]
+
+
 def _search_task(threshold: float):
-    """Links of one shard: per node the copies it is linked with here, and one linked node that ties it to its part of the shard.
+    """Links of one shard: per node the copies it is linked with here, and the smallest node that links of this shard lead to.
 
     A pair that meets in several shards counts in the one with the smallest number, and not at all where a core counts it.
     """
@@ -236,18 +243,18 @@ def _search_task(threshold: float):
         adjacency = [np.array([place[e] for e in edges if e in place], np.int64) for edges in table["edges"].to_pylist()]
         homes = table["homes"].to_pylist()
         several = np.array([len(h) > 1 for h in homes])
-        links, peer = np.zeros(len(nodes), np.int64), nodes.copy()
+        links, part = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
         for i, hits in range_search(x, adjacency, threshold):
             if not len(hits):
                 continue
-            peer[i] = min(nodes[hits].min(), nodes[i])
+            _unite(part, np.append(hits, i))
             count = ~((cores[hits] == cores[i]) & (cores[i] != 0))
             if several[i]:
                 mine = set(homes[i])
                 for j in np.flatnonzero(several[hits] & count):
                     count[j] = min(mine.intersection(homes[hits[j]])) == shard
             links[i] = m[hits[count]].sum()
-        return pa.table({"node": nodes, "links": links, "peer": peer})
+        return pa.table({"node": nodes, "links": links, "peer": nodes[part]})
 
     return run
 
@@ -267,19 +274,19 @@ def _block_task(threshold: float):
         x, nodes, m = _matrix(table["v"]), np.array(table["node"].to_pylist(), np.int64), np.array(table["m"].to_pylist(), np.int64)
         cores, block = np.array(table["core"].to_pylist(), np.int64), np.array(table["block"].to_pylist(), np.int64)
         homes = table["homes"].to_pylist()
-        links, peer = np.zeros(len(nodes), np.int64), nodes.copy()
+        links, part = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
         for i in range(len(nodes)):
             hits = np.flatnonzero((x @ x[i] >= threshold) & ((block != block[i]) if one != two else True))
             hits = hits[hits != i]
             if not len(hits):
                 continue
-            peer[i] = min(nodes[hits].min(), nodes[i])
+            _unite(part, np.append(hits, i))
             count = ~((cores[hits] == cores[i]) & (cores[i] != 0))
             mine = set(homes[i])
             for j in np.flatnonzero(count):
                 count[j] = len(homes[hits[j]]) == 1 or min(mine.intersection(homes[hits[j]])) == group
             links[i] = m[hits[count]].sum()
-        return pa.table({"node": nodes, "links": links, "peer": peer})
+        return pa.table({"node": nodes, "links": links, "peer": nodes[part]})
 
     return run
 
@@ -295,7 +302,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
     is small. Each shard gets a robust-pruned graph; a node's edges from all its shards are united, and a greedy walk from the shard's
     medoid goes on through every node in range. All links found are verified by their cosine. Groups that leaders cannot part, as
     thousands of near copies, are compared in blocks, but for their core, whose pairs are linked by the triangle inequality and
-    counted in bulk. So no pairs are emitted: a task returns a count and one link per node.
+    counted in bulk. So no pairs are emitted: a task unites all its links and returns a count and, per node, the smallest node of its part.
     """
     vectors = frozen(unit_vectors(rows, id_col, vector_col, label_col), "vectors")
     linkable = F.col("v").isNotNull() & F.col("label").isNotNull()
