@@ -117,6 +117,33 @@ def test_thresholds_are_ordered_and_learned():
     assert (np.diff(above, axis=1) <= 0).all() and (np.abs(above.sum(axis=1) - y) < 0.75).mean() > 0.9
 
 
+def same_shape_texts(spark, seed=3, rows=600):
+    """Sentences of ordinary case and punctuation, all of the same shape: bad ones differ in the words they hold alone."""
+    rng = np.random.default_rng(seed)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(400)]
+    pools = [vocabulary[:240], vocabulary[160:]]
+    sentence = lambda pool: " ".join(rng.choice(pool, 8)).capitalize() + "."
+    texts = [(i, " ".join(sentence(pools[i % 2]) for _ in range(5)), i % 2, 0) for i in range(rows)]
+    return spark.createDataFrame(texts, "doc_id long, text string, quality int, toxic int")
+
+
+def test_quality_sees_words(spark):
+    texts = same_shape_texts(spark)
+    found = quality.quality_classifier(texts.select("doc_id", "text"), texts.select("doc_id", "quality", "toxic")).where("held_out").collect()
+    right = [r.kept == (r.doc_id % 2 == 1) for r in found]
+    assert len(right) > 80 and sum(right) / len(right) > 0.95
+
+
+def test_quality_features_in_slices(monkeypatch):
+    text = "Über 12 Katzen, cats & dogs -- " * 20 + "\U0001f600 漢字 END"
+    index, value = quality.features(text)
+    monkeypatch.setattr(quality, "SLICE_CHARS", 7)
+    sliced = quality.features(text)
+    assert (index == sliced[0]).all() and value == pytest.approx(sliced[1])
+    words, other = (set(quality.features(t)[0]) for t in ("one two", "two one"))
+    assert words != other and (value**2).sum() == pytest.approx(1)
+
+
 def test_quality_of_odd_rows(odd, empty, labels):
     rows = quality.quality_classifier(odd, labels).collect()
     assert len(rows) == 11

@@ -1,7 +1,8 @@
-"""Quality classification by ordinal cumulative-link regression on hashed features of whole texts."""
+"""Quality classification by ordinal cumulative-link regression on hashed words, characters and byte kinds of whole texts."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -14,10 +15,14 @@ from pyspark.sql import functions as F
 from wardenry.llm.common import held_out, nullable
 from wardenry.session import broadcast_if_small
 
-# Dimensions of the hashed text, expected rated documents that are learned from, and steps of the fit.
-DIMENSIONS = 1024
+# Dimensions of the hashed text, of which the first are for byte kinds and ratios, and characters of an n-gram.
+DIMENSIONS, KIND_DIMENSIONS, CHARS = 1 << 16, 1024, 3
+# Weight of words and characters beside byte kinds, whose few places would drown in theirs.
+TEXT_WEIGHT = 0.5
+# Expected rated documents that are learned from, steps of the fit, and rows that one step looks at, in turn.
 TRAIN_DOCS = 6000
 STEPS = 400
+STEP_ROWS = 1024
 L2 = 1e-4
 SLICE_CHARS = 1 << 18
 # A document stays if its grade is at least this one with at least this probability.
@@ -61,24 +66,62 @@ def _slot(name: str, level: float, dimensions: int, steps: int = 20) -> int:
     return zlib.crc32(f"{name}:{int(min(max(level, 0.0), 1.0) * steps)}".encode()) % dimensions
 
 
-def features(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Hashed features of a whole text, of length 1: runs of three byte kinds, and how far words repeat.
+# Letters, marks and digits make words; so does all beyond the first plane.
+_WORD = np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(1 << 16)])
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
 
-    The square roots of the runs' shares, so that a long text weighs as much as a short one. Null and empty texts have no runs.
+
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes spread over all bits."""
+    h = (h ^ np.uint64(seed)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def _word_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of each word, in order: a polynomial in its code points."""
+    edges = np.flatnonzero(np.diff(_WORD[np.minimum(codes, (1 << 16) - 1)] | (codes >= 1 << 16), prepend=False, append=False))
+    if not len(edges):
+        return np.zeros(0, np.uint64)
+    powers, inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(codes), base, np.uint64))) for base in (_BASE, _UNBASE))
+    sums = np.add.reduceat(np.append((codes.astype(np.uint64) + np.uint64(1)) * powers[:-1], np.uint64(0)), edges)[::2]
+    return _mixed(sums * inverse[edges[::2]], 1)
+
+
+def features(text: str | None, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of a whole text, as places and values of a sparse vector of length 1.
+
+    Single words, pairs of neighbour words and runs of ``CHARS`` characters, all in lower case; then, in the first places, runs of three
+    byte kinds, and how far words repeat. The square roots of the shares, so that a long text weighs as much as a short one. Null and
+    empty texts have no runs.
     """
     text = text or ""
-    runs, words, repeats, upper = np.zeros(dimensions), 0, 0, 0
+    runs, grams, words, repeats, upper = np.zeros(KIND_DIMENSIONS), np.zeros(dimensions - KIND_DIMENSIONS), 0, 0, 0
     last = None
+    # What the next slice needs of this one, so that nothing is lost between two.
+    kinds, tail, word = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
     at = 0
     while at < len(text):
         end = min(len(text), at + SLICE_CHARS)
         while end < len(text) and not text[end].isspace():
             end += 1
         part = text[at:end]
-        k = _CLASS[np.frombuffer(part.encode("utf-8"), np.uint8)]
+        k = np.append(kinds, _CLASS[np.frombuffer(part.encode("utf-8"), np.uint8)])
+        kinds = k[-2:]
         if len(k) > 2:
             code = (k[:-2] * _KINDS + k[1:-1]) * _KINDS + k[2:]
-            runs += np.bincount((code * 2654435761 >> 7) % dimensions, minlength=dimensions)
+            runs += np.bincount((code * 2654435761 >> 7) % KIND_DIMENSIONS, minlength=KIND_DIMENSIONS)
+        codes = np.frombuffer(part.lower().encode("utf-32-le"), np.uint32)
+        single = _word_hashes(codes)
+        pairs = np.append(word, single)
+        c = np.append(tail, codes).astype(np.uint64)
+        run = np.zeros(max(len(c) - CHARS + 1, 0), np.uint64)
+        for n in range(CHARS if len(run) else 0):
+            run = run * np.uint64(1 << 21) + c[n : len(c) - CHARS + 1 + n]
+        hashes = np.concatenate([single, _mixed(pairs[:-1] * np.uint64(_BASE) + pairs[1:], 2), _mixed(run, 3)])
+        grams += np.bincount((hashes % np.uint64(len(grams))).astype(np.int64), minlength=len(grams))
+        tail, word = c[len(c) - min(len(c), CHARS - 1) :].astype(np.uint32), pairs[-1:]
         found = part.split()
         if found:
             words += len(found)
@@ -88,11 +131,39 @@ def features(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray:
         at = end
     out = np.sqrt(runs / max(runs.sum(), 1.0))
     if words:
-        out[_slot("repeat", repeats / words, dimensions)] += 0.5
-        out[_slot("upper", upper / words, dimensions)] += 0.5
+        out[_slot("repeat", repeats / words, KIND_DIMENSIONS)] += 0.5
+        out[_slot("upper", upper / words, KIND_DIMENSIONS)] += 0.5
     else:
-        out[_slot("none", 0, dimensions)] += 0.5
-    return (out / max(np.sqrt((out**2).sum()), 1e-12)).astype(np.float32)
+        out[_slot("none", 0, KIND_DIMENSIONS)] += 0.5
+    of_kinds, of_text = np.flatnonzero(out), np.flatnonzero(grams)
+    values = np.append(out[of_kinds], TEXT_WEIGHT * np.sqrt(grams[of_text] / max(grams.sum(), 1.0)))
+    return np.append(of_kinds, of_text + KIND_DIMENSIONS), (values / np.sqrt((values**2).sum())).astype(np.float32)
+
+
+@dataclass
+class Sparse:
+    """Rows of a sparse matrix, one after the other; no row is empty."""
+
+    index: np.ndarray
+    value: np.ndarray
+    lengths: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Sparse:
+        return cls(np.tile(np.arange(x.shape[1]), len(x)), x.ravel(), np.full(len(x), x.shape[1]), x.shape[1])
+
+    def parts(self, rows: int) -> list[Sparse]:
+        """The rows in parts of at most ``rows`` and about equal size."""
+        cuts = np.linspace(0, len(self.lengths), -(-len(self.lengths) // rows) + 1).astype(int)
+        ends = np.concatenate([[0], np.cumsum(self.lengths)])
+        return [Sparse(self.index[ends[a] : ends[b]], self.value[ends[a] : ends[b]], self.lengths[a:b], self.width) for a, b in zip(cuts, cuts[1:])]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[self.index] * self.value, np.cumsum(self.lengths) - self.lengths)
+
+    def turned_times(self, d: np.ndarray) -> np.ndarray:
+        return np.bincount(self.index, np.repeat(d, self.lengths) * self.value, self.width)
 
 
 @dataclass
@@ -105,28 +176,39 @@ class CumulativeLink:
 
     def at_least(self, x: np.ndarray) -> np.ndarray:
         """For each row the probabilities that its grade is at least each grade but the lowest."""
-        return _sigmoid((x @ self.weights)[:, None] - self.thresholds[None, :])
+        return self.above(x @ self.weights)
+
+    def above(self, z: np.ndarray) -> np.ndarray:
+        """The same of rows whose products with the weights are ``z``."""
+        return _sigmoid(z[:, None] - self.thresholds[None, :])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(x: np.ndarray, ratings: np.ndarray, steps: int = STEPS, l2: float = L2) -> CumulativeLink:
-    """Maximum likelihood by Adam on the whole sample; every grade weighs the same however rare it is."""
-    grades, y = np.unique(ratings, return_inverse=True)
+def fit(x: np.ndarray | Sparse, ratings: np.ndarray, steps: int = STEPS, l2: float = L2) -> CumulativeLink:
+    """Maximum likelihood by Adam; every grade weighs the same however rare it is.
+
+    Steps go round over the parts of the sample, so rows in random order are expected.
+    """
+    x = x if isinstance(x, Sparse) else Sparse.of(x)
+    grades, every = np.unique(ratings, return_inverse=True)
     levels = len(grades)
     if levels < 2:
-        return CumulativeLink([int(g) for g in grades], np.zeros(x.shape[1], np.float32), np.zeros(0))
-    share = np.bincount(y) / len(y)
-    weight = (1 / (levels * share))[y]
+        return CumulativeLink([int(g) for g in grades], np.zeros(x.width, np.float32), np.zeros(0))
+    share = np.bincount(every) / len(every)
+    parts = x.parts(STEP_ROWS)
+    places = np.split(every, np.cumsum([len(part.lengths) for part in parts])[:-1])
     # Thresholds are the first one plus positive gaps, so they stay in order.
-    p = np.concatenate([np.zeros(x.shape[1]), [0.0], np.zeros(levels - 2)])
-    m, v, d = np.zeros_like(p), np.zeros_like(p), x.shape[1]
+    p = np.concatenate([np.zeros(x.width), [0.0], np.zeros(levels - 2)])
+    m, v, d = np.zeros_like(p), np.zeros_like(p), x.width
     for step in range(1, steps + 1):
+        part, y = parts[step % len(parts)], places[step % len(parts)]
+        weight = (1 / (levels * share))[y]
         gaps = np.exp(p[d + 1 :])
         theta = p[d] + np.concatenate([[0.0], np.cumsum(gaps)])
-        z = x @ p[:d]
+        z = part.times(p[:d])
         cdf = _sigmoid(theta[None, :] - z[:, None])
         edges = np.concatenate([np.zeros((len(y), 1)), cdf, np.ones((len(y), 1))], axis=1)
         rows = np.arange(len(y))
@@ -138,7 +220,7 @@ def fit(x: np.ndarray, ratings: np.ndarray, steps: int = STEPS, l2: float = L2)
         np.add.at(by_theta, y + 1, up)
         np.add.at(by_theta, y, -down)
         by_theta = by_theta[1:-1]
-        slope = np.concatenate([x.T @ (down - up), [by_theta.sum()], np.array([by_theta[i + 1 :].sum() * g for i, g in enumerate(gaps)])]) / len(y)
+        slope = np.concatenate([part.turned_times(down - up), [by_theta.sum()], np.array([by_theta[i + 1 :].sum() * g for i, g in enumerate(gaps)])]) / len(y)
         slope[:d] -= l2 * p[:d]
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         p += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -162,17 +244,22 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     drawn = rated.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(train_docs * float(1 << 20) / total)).select(F.col("id").alias("__rated"), "grade")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(broadcast_if_small(drawn), F.col("__id") == F.col("__rated")).select(F.col("grade").cast("long"), "text")
 
+    place = np.uint16 if dimensions <= 1 << 16 else np.uint32
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t.as_py(), dimensions).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["grade", "x"])
+            x = [features(t.as_py(), dimensions) for t in batch.column(1)]
+            index, value = [i.astype(place).tobytes() for i, _ in x], [v.astype(np.float16).tobytes() for _, v in x]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index, pa.binary()), pa.array(value, pa.binary())], names=["grade", "i", "v"])
 
-    sample = rows.mapInArrow(run, "grade long, x binary").toArrow()
+    sample = rows.mapInArrow(run, "grade long, i binary, v binary").toArrow()
     if not sample.num_rows:
         return None
-    sample = sample.sort_by([("x", "ascending"), ("grade", "ascending")])
-    x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float32).reshape(sample.num_rows, dimensions)
-    return fit(x, np.array(sample["grade"].to_pylist()))
+    # One random order, whatever order the rows arrived in.
+    index, value, grades = (sample[c].to_pylist() for c in ("i", "v", "grade"))
+    order = np.random.default_rng(0).permutation(sorted(range(len(grades)), key=lambda n: (index[n], value[n], grades[n])))
+    x = Sparse(np.frombuffer(b"".join(index[n] for n in order), place), np.frombuffer(b"".join(value[n] for n in order), np.float16), np.array([len(value[n]) // 2 for n in order]), dimensions)
+    return fit(x, np.array(grades)[order])
 
 
 def _graded(model: CumulativeLink | None, texts: pa.Array, dimensions: int, keep_grade: int, keep_probability: float) -> list[pa.Array]:
@@ -180,10 +267,10 @@ def _graded(model: CumulativeLink | None, texts: pa.Array, dimensions: int, keep
     if model is None or len(model.grades) < 2:
         only = float(model.grades[0]) if model else None
         return [pa.array([only] * len(texts), pa.float64()), pa.array([None] * len(texts), pa.float64()), pa.array([True] * len(texts), pa.bool_())]
-    x = np.stack([features(t.as_py(), dimensions) for t in texts]) if len(texts) else np.zeros((0, dimensions), np.float32)
-    above = model.at_least(x)
+    found = (features(t.as_py(), dimensions) for t in texts)
+    above = model.above(np.array([model.weights[i] @ v for i, v in found], np.float64))
     place = [j for j, g in enumerate(model.grades[1:]) if g >= keep_grade]
-    tail = above[:, place[0]] if place and model.grades[0] < keep_grade else np.full(len(x), float(model.grades[0] >= keep_grade))
+    tail = above[:, place[0]] if place and model.grades[0] < keep_grade else np.full(len(above), float(model.grades[0] >= keep_grade))
     return [pa.array(model.grades[0] + above @ np.diff(np.array(model.grades, dtype=np.float64))), pa.array(tail), pa.array(tail >= keep_probability)]
 
 
