@@ -180,6 +180,20 @@ def test_block_links_keep_chains(blocks):
     assert [sum(r["links"] for r in met if r["node"] == n) for n in range(4)] == [1, 1, 2, 2]
 
 
+def test_audit_of_planted_links_over_shards(spark):
+    """Pairs and loose groups in one label that is split into shards: the audit meets links, and nearly all are found."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(300, 24))
+    vectors = [c + s * rng.normal(size=24) for c in centres for s in (0, 0.1, 0.25)]
+    rows = [(i, [float(a) for a in v], 1) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = near_vectors(table, shard_rows=100)
+    audit = audit_recall(table, got, every=3).first()
+    assert audit.expected >= 300 and audit.recall >= 0.9
+    _, part = plain_vectors(rows)
+    assert sum(r.component_id == part[r.vec_id] for r in got.collect()) >= 0.97 * len(rows)
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.1], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [1.0, None], 1), (7, [nan, 1.0], 1), (8, [float("inf"), 1.0], 1),
