@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardenry.llm import exact_dedup, language_id, mixing, packing, quality, sharding, simhash_dedup, toxicity, url_rules, vector_dedup
+from wardenry.llm import exact_dedup, hard_negatives, language_id, line_dedup, mixing, packing, quality, sharding, simhash_dedup, spelling, toxicity, url_rules, vector_dedup
 from wardenry.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,9 +54,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_vector_dedup, op2_language_id, op3_exact_dedup, op4_sharding, op5_simhash_dedup, op6_toxicity, op7_mixing, op8_quality, op9_url_rules, op10_packing)
+    for f in (
+        op1_vector_dedup, op2_language_id, op3_exact_dedup, op4_sharding, op5_simhash_dedup, op6_toxicity, op7_mixing, op8_quality, op9_url_rules, op10_packing,
+        op11_spelling, op12_hard_negatives, op13_line_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -67,4 +82,64 @@ ORACLES: dict[str, str] = {
                row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    # CRC-32 byte by byte through its table; near words through what they are without one letter.
+    "op11_spelling": """
+        WITH RECURSIVE crc_table AS (
+            SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b) ORDER BY b) AS t
+            FROM (SELECT CAST(range AS BIGINT) AS b FROM range(256))),
+        runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+        lowered AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+            FROM runs GROUP BY ALL),
+        hashed AS (
+            SELECT run, n, xor(4294967295, list_reduce(
+                list_transform(range(octet_length(encode(doc_id || ':' || run))), lambda i: CAST(('0x' || substr(hex(encode(doc_id || ':' || run)), CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT)),
+                lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), CAST(4294967295 AS BIGINT))) AS h
+            FROM lowered, crc_table),
+        spelt AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+        words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+        pairs AS (
+            SELECT a.word AS word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+        near AS (
+            SELECT word, count(*) AS n_near, max(m) AS form_n, min(other) FILTER (m = most) AS form
+            FROM (SELECT *, max(m) OVER (PARTITION BY word) AS most FROM pairs) GROUP BY word),
+        forms AS (
+            SELECT w.word, CASE WHEN form_n >= 10 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+            FROM words w LEFT JOIN near USING (word)),
+        chain AS (
+            SELECT word, form AS root, 1 AS step FROM forms WHERE form IS NOT NULL
+            UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+        ends AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+        SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)""",
+    "op12_hard_negatives": """
+        WITH rows AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id AS vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+            FROM rows a JOIN rows r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        windows AS (
+            SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+            FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM windows WHERE rank <= 3""",
+    "op13_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+        keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+        held AS (SELECT k, max(doc_id) AS stays FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+        marked AS (SELECT doc_id, line, i, stays IS NOT NULL AND stays <> doc_id AS gone FROM keyed LEFT JOIN held USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
 }
