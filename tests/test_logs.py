@@ -202,31 +202,49 @@ def by_rank(values, fraction):
     return ordered[min(int(len(ordered) * fraction), len(ordered) - 1)]
 
 
-@pytest.mark.parametrize("bins", [2, 16, 256])
-def test_percentiles_equal_sorting(spark, bins):
-    rng = random.Random(bins)
+@pytest.mark.parametrize("task_rows", [7, 200, 200_000])
+def test_percentiles_equal_sorting(spark, task_rows):
+    rng = random.Random(task_rows)
     groups = {
         "hot": [rng.choice([1.0, 2.0, rng.uniform(0, 1000)]) for _ in range(3000)], "ties": [5.0] * 100, "one": [3.5],
         "two": [1.0, 2.0], "ten": [50.0 + 50 * i for i in range(10)], "negative": [rng.gauss(0, 1) for _ in range(777)], None: [1.0, 9.0, 4.0],
     }
     fractions = [0.0, 0.25, 0.5, 0.9, 0.95, 0.99, 0.999, 1.0]
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "g string, v double").repartition(6)
-    got = {(r.g, r.fraction): r.percentile for r in exact_percentiles(df, ["g"], "v", fractions, bins).collect()}
+    got = {(r.g, r.fraction): r.percentile for r in exact_percentiles(df, ["g"], "v", fractions, task_rows).collect()}
     assert got == {(k, f): by_rank(vs, f) for k, vs in groups.items() for f in fractions}
 
 
 def test_percentiles_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr("wardenry.operators.percentile.FEW_GROUPS", 1)
+    monkeypatch.setattr("wardenry.operators.percentile.broadcast_if_small", lambda df: df)
     df = spark.createDataFrame([(i % 3, float(i)) for i in range(300)], "g int, v double")
     got = {r.g: r.percentile for r in exact_percentiles(df, ["g"], "v", [0.5], 8).collect()}
     assert got == {g: by_rank([float(i) for i in range(300) if i % 3 == g], 0.5) for g in range(3)}
 
 
+def test_percentiles_with_a_wrong_sketch(spark, monkeypatch):
+    """The pieces are counted, so cuts at the wrong place cost time alone."""
+    monkeypatch.setattr("wardenry.operators.percentile.SKETCH_ERROR", -0.2)
+    df = spark.createDataFrame([(1, float(i % 97)) for i in range(500)], "g int, v double")
+    got = {r.fraction: r.percentile for r in exact_percentiles(df, ["g"], "v", [0.1, 0.5, 0.99], 5).collect()}
+    assert got == {f: by_rank([float(i % 97) for i in range(500)], f) for f in (0.1, 0.5, 0.99)}
+
+
+def test_percentiles_of_nan_decimals_and_nothing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", v) for v in (1.0, nan, 2.0, nan)] + [("b", nan), ("b", nan), ("c", None)], "g string, v double")
+    got = {(r.g, r.fraction): r.percentile for r in exact_percentiles(df, ["g"], "v", [0.25, 1.0], 1).collect()}
+    assert got.pop(("a", 0.25)) == 2.0 and sorted(got) == [("a", 1.0), ("b", 0.25), ("b", 1.0)] and all(v != v for v in got.values())
+    money = df.where("g = 'a' AND v < 5").select("g", F.col("v").cast("decimal(9,2)").alias("v"))
+    assert [str(r.percentile) for r in exact_percentiles(money, ["g"], "v", [0.99], 1).collect()] == ["2.00"]
+    assert exact_percentiles(df.where("g = 'c'"), ["g"], "v", [0.5]).count() == 0
+
+
 def test_percentiles_of_the_whole_table(spark):
     df = spark.createDataFrame([(float(i),) for i in range(99)], "v double")
     assert exact_percentiles(df, [], "v", [0.5]).first().percentile == 49.0
     with pytest.raises(ValueError):
-        exact_percentiles(df, [], "v", [0.5], bins=10)
+        exact_percentiles(df, [], "v", [0.5], task_rows=0)
 
 
 def test_summary(spark):

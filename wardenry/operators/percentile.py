@@ -1,82 +1,118 @@
-"""Exact percentiles by rank, without gathering a group in one task."""
+"""Exact percentiles by rank: value ranges are narrowed by sketches and counts until a task can sort them."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BINS = 256
-# Up to this many groups their bounds (one array of bins each) are broadcast; beyond it both sides shuffle.
-FEW_GROUPS = 1_000
+from wardenry.session import broadcast_if_small, scratch_path
+
+# Rows of a value range from which on it is narrowed further instead of sorted.
+TASK_ROWS = 200_000
+# Size of the quantile sketches and the share of a range's rows that their ranks are surely off by.
+SKETCH_SIZE, SKETCH_ERROR = 2048, 0.004
+# Each round leaves about a hundredth of a range. A range that a round does not narrow holds few distinct values.
+MAX_ROUNDS = 12
+
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A small table of ranges, written to the shared folder: every round builds on it, and a lost executor loses nothing."""
+    path = scratch_path(df.sparkSession, "ranks")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    # The hash makes the right side, an aggregate on the keys, shuffle on its own, so that a hot group can be split.
-    condition = F.xxhash64(*[left[k] for k in keys]) == F.xxhash64(*[right[f"_{k}"] for k in keys])
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[f"_{key}"])
-    return condition
 
+def _same_keys(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"v.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], F.lit(True))
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: list[float],
-                      bins: int = DEFAULT_BINS) -> DataFrame:
+
+def _inside(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the ranges (keys, least, most), both ends included. Few ranges are broadcast after a count of them, so no row moves.
+
+    Else the rows are shuffled by key. The hash makes the ranges, an aggregate on the keys, shuffle on their own, so that a hot group is split.
+    """
+    value = F.col("v._value")
+    condition = _same_keys(keys) & (F.xxhash64(*[F.col(f"v.{k}") for k in keys]) == F.col("r._hash")) & (value >= F.col("r._least")) & (value <= F.col("r._most"))
+    side = broadcast_if_small(ranges).withColumn("_hash", F.xxhash64(*keys))
+    others = [F.col(f"r.{c}") for c in ranges.columns if c not in keys]
+    return rows.alias("v").join(side.alias("r"), condition).select(*[F.col(f"v.{k}") for k in keys], "v._value", *others)
+
+
+def _narrowed(rows: DataFrame, wanted: DataFrame, sketched: DataFrame, keys: list[str]) -> DataFrame:
+    """Every wanted rank again, within the piece of its range that holds it.
+
+    The sketch of a range is cut a little below and above each wanted rank. The pieces are counted exactly, so the choice is
+    right whatever the sketch says; only the size of the piece depends on it.
+    """
+    place = keys + ["_least", "_most"]
+    share = F.col("_offset") / F.col("_rows")
+    ends = F.array(F.greatest(share - SKETCH_ERROR, F.lit(0.0)), F.least(share + SKETCH_ERROR, F.lit(1.0)))
+    known = sketched.where(F.kll_sketch_get_n_double("_sketch") > 0)
+    cut = F.kll_sketch_get_quantile_double("_sketch", F.col("_share"))
+    cuts = _matched(wanted, known, place).select(*place, "_sketch", F.explode(ends).alias("_share")).groupBy(*place).agg(F.sort_array(F.collect_set(cut)).alias("_cuts"))
+    # A range of NaN alone has nothing in its sketch and no cuts: it is one piece.
+    ranges = _matched(wanted.select(*place).distinct(), cuts, place, how="left")
+    ranges = _kept(ranges.select(*place, F.coalesce("_cuts", F.array().cast("array<double>")).alias("_cuts")))
+    piece = F.aggregate("_cuts", F.lit(0), lambda n, cut: n + F.when(cut <= F.col("_value").cast("double"), 1).otherwise(0))
+    counted = _inside(rows, ranges, keys).groupBy(*place, piece.alias("_piece")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high")
+    )
+    before = Window.partitionBy(*place).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    held = (F.col("_before") <= F.col("_offset")) & (F.col("_offset") < F.col("_before") + F.col("_n"))
+    return _matched(wanted, counted, place, held).select(
+        *keys, "fraction", (F.col("_offset") - F.col("_before")).alias("_offset"),
+        F.col("_n").alias("_rows"), F.col("_low").alias("_least"), F.col("_high").alias("_most"),
+    )
+
+
+def _matched(left: DataFrame, right: DataFrame, columns: list[str], also: Column | None = None, how: str = "inner") -> DataFrame:
+    """Null-safe join on ``columns``; the other columns of both sides have different names."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") for c in columns], *[c for c in right.columns if c not in columns])
+    condition = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in columns])
+    return left.join(other, condition if also is None else condition & also, how).drop(*[f"_r_{c}" for c in columns])
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: list[float], task_rows: int = TASK_ROWS) -> DataFrame:
     """``(keys..., fraction, percentile)``: the value at sorted position ``min(int(n * fraction), n - 1)``.
 
-    Equal values are first merged into one row with a weight. Approximate quantiles of each group then cut it into
-    ``bins`` value ranges; they only balance the work, any cut gives the same answer. Weights per range tell which
-    range holds each wanted position, and only those ranges are sorted. So a group of any size costs at most
-    1/``bins`` of its distinct values in one task.
+    Mergeable sketches and exact counts, both combined before they are shuffled, narrow each group to a value range that holds
+    the wanted position and at most ``task_rows`` rows. Only rows of those ranges are shuffled, equal values as one. A position in a run
+    of equal values needs no sort at all. Sketches only balance the work: any cut gives the same answer. NaN is larger than any number.
     """
     if any(not 0.0 <= f <= 1.0 for f in fractions):
         raise ValueError("fractions must be between 0 and 1")
-    if bins < 2 or bins & (bins - 1):
-        raise ValueError("bins must be a power of two")
+    if task_rows < 1:
+        raise ValueError("task_rows must be positive")
     if not keys:
         # One constant group: the joins below stay equi-joins.
-        return exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, fractions, bins).drop("_all")
-    weighted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("percentile"))
-        .agg(F.count("*").alias("_weight"))
-    )
-    # One scan of the key columns alone tells whether the per-group tables may be broadcast. Then the values are
-    # shuffled once, by (keys, value), and all uses below share that shuffle.
-    few = df.select(*keys).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
-    cuts = [i / bins for i in range(1, bins)]
-    # The weight is always positive: the test keeps it in this branch too, so that the branches stay the same shuffle.
-    value_seen = F.when(F.col("_weight") > 0, F.col("percentile"))
-    bounds = weighted.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-        F.array_distinct(F.percentile_approx(value_seen, cuts, 4 * bins)).alias("_bounds")
-    )
-    if few:
-        bounds = F.broadcast(bounds)
-    binned = weighted.join(bounds, _same_keys(weighted, bounds, keys)).withColumn("_bin", F.lit(0))
-    # Binary search for the number of bounds below the value; past the end ``get`` is NULL and nothing is added.
-    step = bins // 2
-    while step:
-        below = F.get("_bounds", F.col("_bin") + (step - 1)) < F.col("percentile")
-        binned = binned.withColumn("_bin", F.col("_bin") + F.when(below, step).otherwise(0))
-        step //= 2
-    binned = binned.select(*keys, "percentile", "_weight", "_bin")
-
-    in_group = Window.partitionBy(*keys)
-    upto = F.sum("_bin_weight").over(in_group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
-    position = F.least(F.floor(F.col("_n").cast("double") * F.col("fraction")), F.col("_n") - 1)
-    wanted = (
-        binned.groupBy(*keys, "_bin").agg(F.sum("_weight").alias("_bin_weight"))
-        .withColumn("_before", upto - F.col("_bin_weight"))
-        .withColumn("_n", F.sum("_bin_weight").over(in_group))
-        .withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-        .withColumn("_offset", position - F.col("_before"))
-        .where((F.col("_offset") >= 0) & (F.col("_offset") < F.col("_bin_weight")))
-        .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_bin").alias("_wanted_bin"), "fraction", "_offset")
-    )
-    if few:
-        wanted = F.broadcast(wanted)
-    in_bin = Window.partitionBy(*keys, "fraction").orderBy("percentile").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        binned.join(wanted, _same_keys(binned, wanted, keys) & (F.col("_bin") == F.col("_wanted_bin")))
-        .withColumn("_upto", F.sum("_weight").over(in_bin))
-        .where((F.col("_offset") < F.col("_upto")) & (F.col("_offset") >= F.col("_upto") - F.col("_weight")))
-        .select(*keys, "fraction", "percentile")
+        return exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, fractions, task_rows).drop("_all")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
+    sketch = F.kll_sketch_agg_double(F.col("_value").cast("double"), SKETCH_SIZE).alias("_sketch")
+    whole = _kept(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min("_value").alias("_least"), F.max("_value").alias("_most"), sketch))
+    position = F.least(F.floor(F.col("_rows").cast("double") * F.col("fraction")), F.col("_rows") - 1).cast("long")
+    wanted = whole.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).select(
+        *keys, "fraction", position.alias("_offset"), "_rows", "_least", "_most"
     )
+    sketched = whole.select(*keys, "_least", "_most", "_sketch")
+    large = (F.col("_rows") > task_rows) & (F.col("_least") != F.col("_most"))
+    for step in range(MAX_ROUNDS):
+        if wanted.where(large).isEmpty():
+            break
+        if step:
+            ranges = wanted.where(large).select(*keys, "_least", "_most").distinct()
+            sketched = _kept(_inside(rows, ranges, keys).groupBy(*keys, "_least", "_most").agg(sketch))
+        wanted = _kept(wanted.where(~large).unionByName(_narrowed(rows, wanted.where(large), sketched, keys)))
+    settled = wanted.where(F.col("_least") == F.col("_most")).select(*keys, "fraction", F.col("_least").alias("percentile"))
+    return settled.unionByName(_sorted(rows, wanted.where(F.col("_least") != F.col("_most")), keys))
+
+
+def _sorted(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    place = keys + ["_least", "_most"]
+    weighted = _inside(rows, wanted.select(*place).distinct(), keys).groupBy(*place, "_value").agg(F.count(F.lit(1)).alias("_weight"))
+    upto = F.sum("_weight").over(Window.partitionBy(*place).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = weighted.withColumn("_upto", upto)
+    held = (F.col("_offset") < F.col("_upto")) & (F.col("_offset") >= F.col("_upto") - F.col("_weight"))
+    return _matched(ranked, broadcast_if_small(wanted), place, held).select(*keys, "fraction", F.col("_value").alias("percentile"))

@@ -487,6 +487,61 @@ def job9_redelivered(spark, sf):
     return store.read("orders").select("id", "status", "tenant_id")
 
 
+def _two_tenants(spark, sf):
+    """Orders as messages of two tenants, who both number theirs from the same keys; some come twice in the first batch, all of one kind again in the second."""
+    path = scratch_path(spark, "two_tenants")
+    key = F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))
+    record = F.to_json(F.struct(key.alias("id"), F.col("o_orderstatus").alias("status")))
+    sent = table(spark, sf, "orders").withColumn("tenant_id", F.explode(F.array(F.lit("tenant_0"), F.lit("tenant_1")))).select(
+        record.alias("value"), key.alias("message_id"), "tenant_id", "o_orderstatus", "o_orderpriority")
+    first = sent.where("o_orderstatus <> 'P' OR tenant_id = 'tenant_0'")
+    again = sent.where("o_orderstatus = 'F'").unionByName(sent.where("o_orderstatus = 'P' AND tenant_id = 'tenant_1'"))
+    for batch in (first.unionByName(first.where("o_orderpriority = '1-URGENT'")), again):
+        batch.select("value", "message_id", "tenant_id").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema("value string, message_id string, tenant_id string").option("maxFilesPerTrigger", "1").parquet(f"{path}/in")
+    store, name = TableStore(spark, f"{path}/store"), f"tenants-{path[-8:]}"
+    running = ingest.start_ingestion(
+        ingest.message_records(stream), store, {"id": {"required": True}, "status": {}}, "orders", name=name,
+        checkpoint=f"{path}/checkpoint", source_path="kafka://orders", message_id="message_id",
+    )
+    running.awaitTermination()
+    ingest.log_redelivered(store, running, name)
+    return store
+
+
+@query("job9_two_tenants", [], """
+SELECT 'order-' || o_orderkey AS id, o_orderstatus AS status, tenant_id FROM orders, (VALUES ('tenant_0'), ('tenant_1')) t(tenant_id)""")
+def job9_two_tenants(spark, sf):
+    return _two_tenants(spark, sf).read("orders").select("id", "status", "tenant_id")
+
+
+@query("job9_left_out", [], """
+SELECT 'redelivery' AS job_type, CAST(count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P') * 2
+  + count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') + count(*) FILTER (WHERE o_orderstatus = 'F') * 2 AS BIGINT) AS redelivered
+FROM orders""")
+def job9_left_out(spark, sf):
+    told = _two_tenants(spark, sf).read("job_runs").where("job_type = 'redelivery'")
+    return told.groupBy("job_type").agg(F.sum(F.col("details")["redelivered"].cast("long")).alias("redelivered"))
+
+
+@query("job1_redelivered", [], """
+SELECT tenant_id, CAST(count(*) FILTER (WHERE part = 'new') AS BIGINT) AS stored, CAST(count(*) FILTER (WHERE part = 'again') AS STRING) AS redelivered
+FROM (SELECT 'tenant_' || (o_custkey % 3) AS tenant_id, unnest(CASE WHEN o_orderstatus = 'F' THEN ['new', 'again'] ELSE ['new'] END) AS part FROM orders) m
+GROUP BY tenant_id""")
+def job1_redelivered(spark, sf):
+    """A second batch of files brings one kind of message again: told in the details of the job, tenant by tenant in its audit rows."""
+    store = _store(spark)
+    key = F.col("o_orderkey").cast("string")
+    tenant = F.concat(F.lit("tenant_"), (F.col("o_custkey") % 3).cast("string"))
+    record = F.to_json(F.struct(F.col("o_orderstatus").alias("status")))
+    sent = table(spark, sf, "orders").select(record.alias("record"), key.alias("mid"), tenant.alias("tenant_id"), "o_orderstatus")
+    for batch in (sent.where("o_orderstatus <> 'O'"), sent.where("o_orderstatus <> 'P'")):
+        jobs.ingest_records(store, batch.select("record", "mid", "tenant_id"), {"status": {}}, "orders", source_path="x", message_id="mid")
+    stored = store.read("orders").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("stored"))
+    told = store.read("audit").where("action = 'KYC_INGESTION'").groupBy("tenant_id").agg(F.sum(F.col("details")["redelivered"].cast("long")).cast("string").alias("redelivered"))
+    return stored.join(told, "tenant_id").select("tenant_id", "stored", "redelivered")
+
+
 @query("src9_consume", ["messages"], """
 SELECT message_id, value, tenant_id FROM messages""")
 def src9_consume(spark, sf):

@@ -94,8 +94,9 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
     tenants may come together in a ``tenant_id`` column; audit and lineage rows are then written per tenant.
 
     Keys that the schema does not declare are kept, unmasked, in the map column ``extra``. With ``message_id`` (a column)
-    a message is ingested once: its id is published with its rows in ``{target}_messages``, by day, and left out when it
-    comes again within ``redelivery_days``. Records without an id are always taken.
+    a tenant's message is ingested once: its id is published with its rows in ``{target}_messages``, by day, and left out when
+    that tenant sends it again within ``redelivery_days``; how many were left out is in the job's details. Records without an id
+    are always taken. All counts are those of the files written, so a task that runs again counts once.
     """
     result = JobResult("kyc_ingestion", tenant_id or "*")
 
@@ -107,10 +108,14 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
         if extra in rules:
             raise ValueError(f"undeclared keys need a column of their own, {extra} is declared")
         owned = records if tenant_id is None else records.withColumn("tenant_id", F.lit(tenant_id))
+        messages = f"{target}_messages"
         if message_id is not None:
-            owned = _unseen(change, owned, f"{target}_messages", message_id, redelivery_days, dry_run)
+            owned = _each_once(change, owned, messages, message_id, redelivery_days)
         checked = check_presence(owned, list(rules))
         valid = F.col("valid")
+        if message_id is not None:
+            # Neither accepted nor rejected: only its number of deliveries is written.
+            checked = checked.withColumn("valid", F.when(~F.col("_known"), valid))
         fields = []
         for name, rule in rules.items():
             if name == "tenant_id":
@@ -125,20 +130,28 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
         rows = checked.select(
             *fields,
             F.when(~valid, F.col("record")).alias("record"), F.when(~valid, F.col("missing_fields")).alias("missing_fields"),
-            valid.alias("accepted"), "tenant_id",
-        )
-        seen = Observation()
-        counted = rows.observe(
-            seen, F.count_if(F.col("accepted")).alias("passed"), F.count_if(~F.col("accepted")).alias("failed")
+            valid.alias("accepted"), "tenant_id", *((F.col(message_id).cast("string").alias("_message"), "_again") if message_id is not None else ()),
         )
+        tally = [
+            F.count_if("accepted").alias("passed"), F.count_if(~F.col("accepted")).alias("failed"),
+            F.coalesce(F.sum("_again"), F.lit(0)).alias("redelivered"),
+        ]
+        if message_id is None:
+            rows = rows.withColumn("_again", F.lit(0).cast("long"))
         folder = change.new_folder(target)
         if dry_run:
-            counted.write.format("noop").mode("overwrite").save()
+            totals = rows.agg(*tally).first()
         else:
-            write_partitioned(counted, folder, ["accepted", "tenant_id"])
-        passed, failed = observed(seen, "passed"), observed(seen, "failed")
+            write_partitioned(rows if message_id is not None else rows.drop("_again"), folder, ["accepted", "tenant_id"])
+            # Only partition columns and the small counts of deliveries are read back.
+            written = store.spark.read.schema("_again long, accepted boolean, tenant_id string").parquet(folder)
+            per_tenant = written.groupBy("tenant_id").agg(*tally)
+            totals = per_tenant.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("passed", "failed", "redelivered")]).first()
+        passed, failed = totals.passed, totals.failed
         result.records_processed, result.records_failed = passed, failed
         result.details = {"records_processed": passed, "records_inserted": passed, "validation_errors": failed}
+        if message_id is not None:
+            result.details["redelivered"] = totals.redelivered
         score = passed / (passed + failed) if passed + failed else 0.0
         if threshold is not None and score < threshold:
             raise QualityGateClosed(f"quality score {score:.4f} is below {threshold}")
@@ -155,13 +168,13 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
             change.adopt(target, f"{folder}/accepted=true", accepted_schema, partition_by=["tenant_id"])
         if failed:
             change.adopt(f"{target}_rejected", f"{folder}/accepted=false", rejected_schema, partition_by=["tenant_id"])
+        if message_id is not None and passed + failed:
+            ids = store.spark.read.schema("_message string, accepted boolean, tenant_id string").parquet(folder)
+            taken = ids.where(F.col("accepted").isNotNull() & F.col("_message").isNotNull())
+            day = F.lit(datetime.now().date()).alias("dt")
+            change.append(messages, taken.select("tenant_id", F.col("_message").alias("message_id"), day), ["dt"])
         if passed or failed:
-            # Only partition columns are read back, so this counts rows from the file footers.
-            written = store.spark.read.schema("accepted boolean, tenant_id string").parquet(folder)
-            per_tenant = written.groupBy("tenant_id").agg(
-                F.count_if("accepted").alias("passed"), F.count_if(~F.col("accepted")).alias("failed")
-            )
-            _log_ingestion(change, per_tenant, source_path, target, any(map(field_strategy, rules.values())))
+            _log_ingestion(change, per_tenant, source_path, target, any(map(field_strategy, rules.values())), message_id is not None)
         if mark:
             change.mark(*mark)
         return "success"
@@ -169,25 +182,37 @@ def ingest_records(store: TableStore, records: DataFrame, rules: Mapping[str, ob
     return _run(store, result, "KYC_INGESTION", body, dry_run)
 
 
-def _unseen(change: Transaction, records: DataFrame, table: str, message_id: str, days: int, dry_run: bool) -> DataFrame:
-    """Messages that were not published before, each once; their ids are staged with the batch."""
+def _each_once(change: Transaction, records: DataFrame, table: str, message_id: str, days: int) -> DataFrame:
+    """Each tenant's messages once, with the deliveries to leave out (``_again``) and whether an earlier batch has it (``_known``).
+
+    Deliveries of a message combine before they are shuffled, so a message that comes very often is a few rows.
+    """
     store, today = change.store, datetime.now().date()
-    fresh = records.where(F.col(message_id).isNotNull()).dropDuplicates([message_id])
+    others = [c for c in records.columns if c not in ("tenant_id", message_id)]
+    with_id = records.where(F.col(message_id).isNotNull())
+    once = with_id.groupBy("tenant_id", message_id).agg(F.first(F.struct(*others)).alias("_rest"), F.count(F.lit(1)).alias("_deliveries"))
+    once = once.withColumn("_id", F.col(message_id).cast("string"))
     if table in store.tables():
         recent = store.read(table).where(F.col("dt") >= F.lit(today - timedelta(days=days)))
-        known = recent.select(F.col("message_id").alias("__known"))
-        fresh = fresh.join(known, F.col(message_id).cast("string") == F.col("__known"), "left_anti")
-    if not dry_run:
-        ids = fresh.select(F.col(message_id).cast("string").alias("message_id"), F.lit(today).alias("dt"))
-        change.append(table, ids, ["dt"])
-    return fresh.unionByName(records.where(F.col(message_id).isNull()))
-
-
-def _log_ingestion(change: Transaction, per_tenant: DataFrame, source_path: str, target: str, masks: bool) -> None:
+        known = recent.select("tenant_id", F.col("message_id").alias("_id"), F.lit(True).alias("_seen")).distinct()
+        once = lookup_join(once, known, ["tenant_id", "_id"])
+    else:
+        once = once.withColumn("_seen", F.lit(None).cast("boolean"))
+    known = F.coalesce("_seen", F.lit(False))
+    told = once.select(
+        "tenant_id", message_id, "_rest.*", (F.col("_deliveries") - F.when(known, 0).otherwise(1)).alias("_again"), known.alias("_known")
+    )
+    free = records.where(F.col(message_id).isNull()).withColumns({"_again": F.lit(0).cast("long"), "_known": F.lit(False)})
+    return told.unionByName(free)
+
+
+def _log_ingestion(change: Transaction, per_tenant: DataFrame, source_path: str, target: str, masks: bool, redelivery: bool) -> None:
     details = {
         "source_path": F.lit(source_path), "records_processed": F.col("passed"),
         "records_inserted": F.col("passed"), "validation_errors": F.col("failed"),
     }
+    if redelivery:
+        details["redelivered"] = F.col("redelivered")
     rows = audit.events(per_tenant, "KYC_INGESTION", record_id=F.lit(target), details=details)
     if masks:
         rows = rows.unionByName(

@@ -60,11 +60,15 @@ def replay_landed(messages: DataFrame, offset: int, partition: int = 0) -> DataF
     )
 
 
-def once(messages: DataFrame, message_id: str = "message_id") -> DataFrame:
-    """Redelivered messages once. For a stream, give it a watermark first so that the state stays bounded."""
+def once(messages: DataFrame, message_id: str = "message_id", tenant_id: str = "tenant_id") -> DataFrame:
+    """Redelivered messages once; tenants, where the messages name them, number theirs on their own.
+
+    For a stream, give it a watermark first so that the state stays bounded: a message is known for as long as the watermark's delay.
+    """
+    keys = [c for c in (tenant_id, message_id) if c in messages.columns]
     if messages.isStreaming:
-        return messages.dropDuplicatesWithinWatermark([message_id])
-    return messages.dropDuplicates([message_id])
+        return messages.dropDuplicatesWithinWatermark(keys)
+    return messages.dropDuplicates(keys)
 
 
 def messages(df: DataFrame, topic: str, tenant_id: str | None = None, columns: list[str] | None = None) -> DataFrame:
