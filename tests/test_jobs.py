@@ -80,6 +80,55 @@ def test_a_message_is_ingested_once(spark, store):
     assert sorted(r.message_id for r in store.read("kyc_messages").collect()) == ["a", "b"]
 
 
+def test_tenants_number_their_messages_alone(spark, store):
+    def batch(*rows):
+        return spark.createDataFrame([(t, f'{{"id":"{t}{i}"}}', i) for t, i in rows], "tenant_id string, record string, mid string")
+
+    first = jobs.ingest_records(store, batch(("t1", "m1"), ("t2", "m1"), ("t2", "m1"), (None, "m1")), {"id": {}}, "kyc", source_path="x", message_id="mid")
+    again = jobs.ingest_records(store, batch(("t1", "m1"), ("t3", "m1"), ("t3", None), ("t3", None)), {"id": {}}, "kyc", source_path="x", message_id="mid")
+    assert (first.records_processed, first.details["redelivered"], again.records_processed, again.details["redelivered"]) == (3, 1, 3, 1)
+    assert sorted(r.id for r in store.read("kyc").collect()) == ["Nonem1", "t1m1", "t2m1", "t3None", "t3None", "t3m1"]
+    told = {(r.tenant_id, r.details["redelivered"]) for r in store.read("audit").where("action = 'KYC_INGESTION'").collect()}
+    assert told == {("t1", "0"), ("t2", "1"), (None, "0"), ("t1", "1"), ("t3", "0")}
+    only_known = jobs.ingest_records(store, batch(("t1", "m1")), {"id": {}}, "kyc", source_path="x", message_id="mid")
+    assert (only_known.status, only_known.records_processed, only_known.details["redelivered"]) == ("success", 0, 1)
+
+
+def test_a_stream_knows_messages_of_earlier_runs(spark, store, tmp_path):
+    schema = "tenant_id string, value string, message_id string"
+
+    def deliver(*rows):
+        spark.createDataFrame([(t, f'{{"id":"{t}{i}"}}', i) for t, i in rows], schema).coalesce(1).write.mode("append").parquet(f"file:{tmp_path}/in")
+        query = ingest.start_ingestion(
+            ingest.message_records(spark.readStream.schema(schema).parquet(f"file:{tmp_path}/in")), store, {"id": {}}, "kyc", name="known", checkpoint=f"file:{tmp_path}/ck",
+            source_path="kafka://x", message_id="message_id")
+        query.awaitTermination()
+        ingest.log_redelivered(store, query, "known")
+        return ingest.log_redelivered(store, query, "known")  # told once
+
+    assert deliver(("a", "1"), ("b", "1"), ("b", "1")) == 0
+    assert deliver(("a", "1"), ("a", "2"), ("a", None), ("a", None)) == 0
+    assert sorted(r.id for r in store.read("kyc").collect()) == ["a1", "a2", "aNone", "aNone", "b1"]
+    told = [r.details for r in store.read("job_runs").where("job_type = 'redelivery'").collect()]
+    assert [d["redelivered"] for d in told] == ["1", "1"]
+
+
+def test_late_rows_are_left_out_and_counted(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    batches = [[0, 1, 2], [300], [301], [5, 299], [310]]
+    for minutes in batches:
+        rows = [(start + timedelta(minutes=m), "x", 1.0) for m in minutes]
+        spark.createDataFrame(rows, "ts timestamp, name string, value double").coalesce(1).write.mode("append").parquet(f"file:{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, name string, value double").option("maxFilesPerTrigger", 1).parquet(f"file:{tmp_path}/in")
+    out, checkpoint = f"file:{tmp_path}/out", f"file:{tmp_path}/ck"
+    windows.start_windows(stream, windows.windowed_metrics, out, checkpoint, window="10 minutes", watermark="5 minutes").awaitTermination()
+    account = windows.accounts(spark, out, checkpoint, 8).first()
+    # 310 closes the window of 299 (which 300 alone does not, five minutes being allowed); minute 5 came when its window was closed.
+    assert (account.received, account.closed, account.open, account.late) == (8, 4, 3, 1)
+    with pytest.raises(ValueError):
+        windows.start_windows(stream, windows.windowed_metrics, out, checkpoint, watermark="")
+
+
 def test_breaker_stops_before_the_sink(spark, store):
     rows = records(spark, ("t1", GOOD), ("t1", "{}"))
     assert jobs.ingest_records(store, rows, RULES, "kyc", source_path="x", threshold=0.6).status == "failure"

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardenry.operators import audit
 from wardenry.operators.joins import lookup_join
 from wardenry.schemas import moment
-from wardenry.session import scratch_path
+from wardenry.session import broadcast_if_small, scratch_path
 
 SOURCE, TARGET = "source_dataset", "destination_dataset"
 
@@ -110,41 +113,110 @@ def event_count(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("event_count"))
 
 
+# Links of one dataset in a bucket; the links of a larger one are dealt over several. Hops whose finds are merged into one table.
+HUB_LINKS, MERGED_HOPS = 1_000_000, 8
+
+
+class _Bucketed:
+    """Tables in the shared folder, bucketed by Spark and known to the catalog for as long as a traversal runs."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, scratch_path(spark, "provenance")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str, by: list[str]) -> DataFrame:
+        """``df`` in buckets of ``by``. It comes shuffled by these columns, so a task writes few buckets."""
+        table = f"provenance_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.buckets, *by).option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(table)
+        self.names[name] = table
+        return self.spark.table(table)
+
+    def drop(self, *names: str) -> None:
+        """Forget tables and delete their files."""
+        files = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for name in names:
+            self.forget(name)
+            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"), True)
+
+    def forget(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(name)}")
+
+
 def provenance(edges: DataFrame, roots: DataFrame, direction: str = "downstream", max_hops: int | None = None) -> DataFrame:
     """Everything reachable from each root with the least number of hops: ``(root, dataset, hops)``.
 
-    Breadth first, one join per hop, until a hop finds nothing new; cycles and self-loops end by the anti-join with
-    what was seen. Each hop is written to the shared folder, which cuts the lineage and survives lost executors.
-    A root is listed only when a cycle leads back to it.
+    Breadth first, one join per hop, until a hop finds nothing new; cycles and self-loops end by anti-joins with what was seen. Links are
+    bucketed once by their near end, and what a hop finds by root and dataset: a hop shuffles its frontier and its finds, never the links or
+    what was seen. The links of a hub are dealt over several buckets. Finds are tables in the shared folder, which cuts the lineage and
+    survives lost executors; the links are deleted at the end. A root is listed only when a cycle leads back to it.
     """
     if direction not in ("downstream", "upstream"):
         raise ValueError("direction must be downstream or upstream")
     near, far = (SOURCE, TARGET) if direction == "downstream" else (TARGET, SOURCE)
     spark = edges.sparkSession
-    folder = scratch_path(spark, "provenance")
-    edges.select(F.col(near).alias("near"), F.col(far).alias("far")).distinct().write.parquet(f"{folder}/links")
-    links = spark.read.parquet(f"{folder}/links")
-    frontier = roots.select(F.col("dataset").alias("root"), "dataset").distinct()
+    tables = _Bucketed(spark)
     schema = "root string, dataset string, hops int"
-    seen_paths: list[str] = []
+    pairs = edges.select(F.col(near).alias("near"), F.col(far).alias("far")).distinct()
+    # Counted with repeats, which at most gives a dataset more parts.
+    spread = edges.groupBy(F.col(near).alias("near")).agg(F.ceil(F.count(F.lit(1)) / HUB_LINKS).cast("int").alias("parts")).where("parts > 1")
+    path = f"{tables.folder}/hubs"
+    spread.write.parquet(path)
+    hubs = broadcast_if_small(spark.read.schema(spread.schema).parquet(path))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("far"), F.col("parts"))).cast("int").alias("part")
+    dealt = pairs.join(hubs, "near", "left").select("near", part, "far").repartition(tables.buckets, "near", "part")
+    links = tables.write(dealt, "links", ["near", "part"])
+
+    frontier = roots.select(F.col("dataset").alias("root"), "dataset").distinct()
+    found_paths: list[str] = []
+    seen: dict[str, DataFrame] = {}
     hop = 0
-    while max_hops is None or hop < max_hops:
-        hop += 1
-        found = (
-            links.join(frontier, links["near"] == frontier["dataset"])
-            .select("root", F.col("far").alias("dataset"))
-            .distinct()
-        )
-        if seen_paths:
-            seen = spark.read.schema(schema).parquet(*seen_paths)
-            found = found.join(seen.select("root", "dataset"), ["root", "dataset"], "left_anti")
-        path = f"{folder}/hop-{hop}"
-        found.withColumn("hops", F.lit(hop)).write.parquet(path)
-        reached = spark.read.schema(schema).parquet(path)
-        if reached.isEmpty():
-            break
-        seen_paths.append(path)
-        frontier = reached.select("root", "dataset")
-    if not seen_paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*seen_paths)
+    try:
+        while max_hops is None or hop < max_hops:
+            hop += 1
+            reached = tables.write(_hop(links, hubs, frontier, seen).withColumn("hops", F.lit(hop)), f"hop-{hop}", ["root", "dataset"])
+            if reached.isEmpty():
+                break
+            found_paths.append(f"{tables.folder}/hop-{hop}")
+            seen[f"hop-{hop}"] = reached
+            frontier = reached.select("root", "dataset")
+            if len(seen) > MERGED_HOPS:
+                seen = _merged(tables, seen, hop)
+        if not found_paths:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(*found_paths)
+    finally:
+        for name in list(tables.names):
+            if name.startswith("hop-"):
+                tables.forget(name)
+            else:
+                tables.drop(name)
+
+
+def _hop(links: DataFrame, hubs: DataFrame, frontier: DataFrame, seen: dict[str, DataFrame]) -> DataFrame:
+    """New ``(root, dataset)`` one link behind the frontier."""
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    asked = frontier.join(hubs.withColumnRenamed("near", "dataset"), "dataset", "left").select("root", F.col("dataset").alias("near"), parts)
+    # A frontier is broadcast once it is counted; a large one is merged with the links, which are never moved.
+    found = links.join(_small_or_merged(asked), ["near", "part"]).select("root", F.col("far").alias("dataset")).distinct()
+    return found.join(_union(seen), ["root", "dataset"], "left_anti") if seen else found
+
+
+def _small_or_merged(asked: DataFrame) -> DataFrame:
+    small = broadcast_if_small(asked)
+    return asked.hint("merge") if small is asked else small
+
+
+def _union(seen: dict[str, DataFrame]) -> DataFrame:
+    """All that was seen. The tables have equal buckets, so their union has them too and is not shuffled."""
+    return reduce(DataFrame.unionByName, [earlier.select("root", "dataset") for earlier in seen.values()])
+
+
+def _merged(tables: _Bucketed, seen: dict[str, DataFrame], hop: int) -> dict[str, DataFrame]:
+    """What was seen as one table, so that a hop's anti-joins stay few on deep graphs."""
+    name = f"seen-{hop}"
+    merged = tables.write(_union(seen), name, ["root", "dataset"])
+    for old in seen:
+        if old.startswith("seen-"):
+            tables.drop(old)
+    return {name: merged}

@@ -11,8 +11,8 @@ from wardenry.session import broadcast_if_small, scratch_path
 
 # Rows of a value range from which on it is narrowed further instead of sorted.
 TASK_ROWS = 200_000
-# Size of the quantile sketches and the share of a range's rows that their ranks are surely off by.
-SKETCH_SIZE, SKETCH_ERROR = 2048, 0.004
+# Size of the quantile sketches, the share of a range's rows that their ranks are surely off by, and the shares they are asked for.
+SKETCH_SIZE, SKETCH_ERROR, GRID = 2048, 0.004, 256
 # Each round leaves about a hundredth of a range. A range that a round does not narrow holds few distinct values.
 MAX_ROUNDS = 12
 
@@ -48,10 +48,14 @@ def _narrowed(rows: DataFrame, wanted: DataFrame, sketched: DataFrame, keys: lis
     """
     place = keys + ["_least", "_most"]
     share = F.col("_offset") / F.col("_rows")
-    ends = F.array(F.greatest(share - SKETCH_ERROR, F.lit(0.0)), F.least(share + SKETCH_ERROR, F.lit(1.0)))
+    low = F.greatest(F.floor((share - SKETCH_ERROR) * GRID), F.lit(0)).cast("int")
+    high = F.least(F.ceil((share + SKETCH_ERROR) * GRID), F.lit(GRID)).cast("int")
     known = sketched.where(F.kll_sketch_get_n_double("_sketch") > 0)
-    cut = F.kll_sketch_get_quantile_double("_sketch", F.col("_share"))
-    cuts = _matched(wanted, known, place).select(*place, "_sketch", F.explode(ends).alias("_share")).groupBy(*place).agg(F.sort_array(F.collect_set(cut)).alias("_cuts"))
+    # Sketches are asked for constant shares alone: a grid of them, from which each wanted rank takes its neighbours.
+    grid = F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+    met = _matched(wanted, known.select(*place, grid.alias("_grid")), place)
+    ends = met.select(*place, F.explode(F.array(F.get("_grid", low), F.get("_grid", high))).alias("_cut"))
+    cuts = ends.groupBy(*place).agg(F.sort_array(F.collect_set("_cut")).alias("_cuts"))
     # A range of NaN alone has nothing in its sketch and no cuts: it is one piece.
     ranges = _matched(wanted.select(*place).distinct(), cuts, place, how="left")
     ranges = _kept(ranges.select(*place, F.coalesce("_cuts", F.array().cast("array<double>")).alias("_cuts")))
@@ -98,9 +102,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: lis
     )
     sketched = whole.select(*keys, "_least", "_most", "_sketch")
     large = (F.col("_rows") > task_rows) & (F.col("_least") != F.col("_most"))
+    before = None
     for step in range(MAX_ROUNDS):
-        if wanted.where(large).isEmpty():
+        left = wanted.where(large).agg(F.sum("_rows")).first()[0]
+        if left is None or left == before:  # nothing is left, or what is left does not get smaller
             break
+        before = left
         if step:
             ranges = wanted.where(large).select(*keys, "_least", "_most").distinct()
             sketched = _kept(_inside(rows, ranges, keys).groupBy(*keys, "_least", "_most").agg(sketch))

@@ -609,13 +609,13 @@ def lin10_count(spark, sf):
 
 
 @query("lin11_closure", ["edges"], """
-WITH RECURSIVE reach(root, dataset) AS (
-  SELECT 'region:' || CAST(r_regionkey AS STRING), destination_dataset FROM region, edges WHERE source_dataset = 'region:' || CAST(r_regionkey AS STRING)
-  UNION SELECT r.root, e.destination_dataset FROM reach r JOIN edges e ON e.source_dataset = r.dataset)
-SELECT root, dataset FROM reach""")
+WITH RECURSIVE reach(root, dataset, hops) AS (
+  SELECT 'region:' || CAST(r_regionkey AS STRING), destination_dataset, 1 FROM region, edges WHERE source_dataset = 'region:' || CAST(r_regionkey AS STRING)
+  UNION SELECT r.root, e.destination_dataset, r.hops + 1 FROM reach r JOIN edges e ON e.source_dataset = r.dataset WHERE r.hops < 30)
+SELECT root, dataset, CAST(min(hops) AS INTEGER) AS hops FROM reach GROUP BY root, dataset""")
 def lin11_closure(spark, sf):
     roots = table(spark, sf, "region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("dataset"))
-    return lineage.provenance(view(spark, sf, "edges"), roots).select("root", "dataset")
+    return lineage.provenance(view(spark, sf, "edges"), roots)
 
 
 @query("lin12_violations", ["edges"], "SELECT event_id, 'user_empty' AS rule FROM edges WHERE actor = ''")
@@ -1086,6 +1086,14 @@ def job2_differences(spark, sf):
     return reconcile.compare_rows(table(spark, sf, "orders"), view(spark, sf, "migrated_orders"), ["o_orderkey"], columns)
 
 
+@query("job2_differences_tree", [], """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_totalprice > 450000 THEN 'missing_in_target' ELSE 'values_differ' END AS difference FROM orders
+WHERE (o_orderstatus = 'P' AND o_totalprice > 450000) OR (o_orderpriority = '1-URGENT' AND o_totalprice < 50000)""")
+def job2_differences_tree(spark, sf):
+    columns = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    return reconcile.compare_by_ranges(table(spark, sf, "orders"), view(spark, sf, "migrated_orders"), ["o_orderkey"], columns)
+
+
 def compliance_logs(spark, sf):
     """Tenants, and logs in which some tenants lack some kind of event."""
     tenants = table(spark, sf, "nation").select(F.concat(F.lit("tenant_"), F.col("n_nationkey").cast("string")).alias("tenant_id"))

@@ -573,6 +573,41 @@ def met_windows(spark, sf):
     )
 
 
+def _late_metrics(spark, sf):
+    """Metrics in order of time in two batches; then those of one name from before the first batch's last three days, which come too late."""
+    path = scratch_path(spark, "late")
+    measured = event_metrics(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    late = (F.col("name") == "signup_ms") & (F.col("ts") < F.lit("2024-01-12").cast("timestamp"))
+    first = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    for batch in (measured.where(~late & first), measured.where(~late & ~first), measured.where(late)):
+        batch.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(measured.schema).option("maxFilesPerTrigger", "1").parquet(f"{path}/in")
+    windows.start_windows(stream, windows.windowed_metrics, f"{path}/out", f"{path}/checkpoint", window="1 day", watermark="1 day").awaitTermination()
+    return path, measured
+
+
+_ON_TIME = "NOT (name = 'signup_ms' AND ts < TIMESTAMP '2024-01-12 00:00:00')"
+_CLOSED = "time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM metrics) - INTERVAL 1 DAY"
+
+
+@query("met_windows_late", ["metrics"], f"""
+SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS window_us, name, count(*) AS "count", round(sum(value), 2) AS "sum", min(value) AS "min", max(value) AS "max"
+FROM metrics WHERE {_ON_TIME} AND {_CLOSED} GROUP BY 1, 2""")
+def met_windows_late(spark, sf):
+    path, _ = _late_metrics(spark, sf)
+    return spark.read.parquet(f"{path}/out").select(
+        F.unix_micros("window_start").alias("window_us"), "name", "count", F.round("sum", 2).alias("sum"), "min", "max"
+    )
+
+
+@query("met_windows_left_out", ["metrics"], f"""
+SELECT count(*) AS received, count(*) FILTER (WHERE {_ON_TIME} AND {_CLOSED}) AS closed,
+  count(*) FILTER (WHERE {_ON_TIME} AND NOT ({_CLOSED})) AS "open", count(*) FILTER (WHERE NOT ({_ON_TIME})) AS late FROM metrics""")
+def met_windows_left_out(spark, sf):
+    path, measured = _late_metrics(spark, sf)
+    return windows.accounts(spark, f"{path}/out", f"{path}/checkpoint", measured.count())
+
+
 @query("met8_windows", ["audit"], """
 SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS window_us, count(*) AS event_count, round(100.0 * count(*) FILTER (WHERE status = 'FAILURE') / count(*), 2)::DOUBLE AS error_rate
 FROM audit GROUP BY 1""")
