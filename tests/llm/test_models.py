@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -92,6 +93,51 @@ def test_kernel_and_table_agree():
     assert np.allclose(np.diag(toxicity._kernel(words, words)), 1, atol=0.35) and toxicity._kernel(words, words)[0, 2] > toxicity._kernel(words, words)[0, 1]
 
 
+def plain_features(word):
+    """Occurrences of three characters with at most two others between them and of four with at most one, each with its weight."""
+    framed, out = f" {word} ", {}
+    for size, most in ((3, 2), (4, 1)):
+        for places in itertools.combinations(range(len(framed)), size):
+            others = places[-1] - places[0] + 1 - size
+            if others <= most:
+                key = tuple(b - a for a, b in zip(places, places[1:])), "".join(framed[i] for i in places)
+                out.setdefault(key[1], []).append(toxicity.DECAY**others)
+    return {k: sum(v) for k, v in out.items()}, sum(w * w for v in out.values() for w in v)
+
+
+def test_kernel_equals_brute_force():
+    words = ["idiot", "i", "idioot", "xidiot", "moron", "aaaaaa", "réêen"]
+    found = toxicity._kernel(words, words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            (x, nx), (y, ny) = plain_features(a), plain_features(b)
+            assert found[i, j] == pytest.approx(sum(w * y.get(k, 0) for k, w in x.items()) / (nx * ny) ** 0.5)
+    assert found[0, 2] > found[0, 4] and found[0, 3] > found[0, 4]
+
+
+def test_toxic_words_that_come_singly_in_clean_texts():
+    """A stem that clean texts hold once by chance, toxic ones in several words; nothing else tells them apart."""
+    rng = np.random.default_rng(2)
+    syllables = ["ra", "lo", "mi", "te", "ba", "su", "ko", "ne", "po", "du"]
+    word = lambda: "".join(rng.choice(syllables, 3))
+    stem = lambda: "zuxi" + "".join(rng.choice(syllables, 1))
+    clean = [" ".join([*(word() for _ in range(30)), *([stem()] if i % 40 == 0 else [])]) for i in range(200)]
+    toxic = [" ".join([*(word() for _ in range(30)), *(stem() for _ in range(4))]) for _ in range(60)]
+    machine = toxicity.learn(toxic[:40], clean[:150])
+    score = lambda text: machine.probability(toxicity._Scorer(machine).top(text))
+    assert all(score(t) > 0.5 for t in toxic[40:]) and sum(score(t) > 0.5 for t in clean[150:]) <= 5
+
+
+def test_long_toxic_texts_are_learned_from(spark, monkeypatch):
+    filler = "the cat sat on the mat near the door. "
+    rows = [(i, (filler * 30) + ("what an idiot you are. " * 5 if i % 2 else "") + filler * 30, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic"), train_docs=1000).collect()
+    machine = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), train_chars=1500)
+    assert all(r.predicted == r.doc_id % 2 for r in found) and machine is not None
+    assert machine.probability(toxicity._Scorer(machine).top("an idiot")) > 0.5 > machine.probability(toxicity._Scorer(machine).top("the mat"))
+
+
 def test_toxicity_of_odd_rows(odd, empty, labels):
     rows = toxicity.toxicity(odd, labels).collect()
     assert len(rows) == 11 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)

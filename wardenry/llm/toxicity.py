@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wardenry.llm.common import held_out, nullable
 from wardenry.session import broadcast_if_small
 
-# Labelled documents of each class that are learned from (expected), of at most so many characters.
+# Labelled documents of each class that are learned from (expected), and characters of each: of a longer text some sentences.
 TRAIN_DOCS = 1200
 TRAIN_CHARS = 20_000
 # Landmarks of each class; rounds of choosing witnesses and hard negatives.
@@ -25,19 +25,23 @@ ROUNDS = 3
 SPECTRUM = 2e-3
 # Price of a class's margin errors against the machine's flatness.
 COST = 300.0
-# Subsequences of three characters with at most two others between them, each of which costs this factor.
+# Subsequences of three characters with at most two others between them, and of four with at most one; each of these costs this factor.
 DECAY = 0.6
-GAPS = ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1))
-HASH_BITS = 18
+GAPS = ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1), (1, 1, 1), (1, 1, 2), (1, 2, 1), (2, 1, 1))
+HASH_BITS = 20
 # Distinct words a worker remembers, and text that is scored at a time.
 REMEMBERED = 400_000
 SLICE_CHARS = 1 << 20
 # Words whose subsequences are in memory at a time; random and hardest clean words that a round adds.
 BLOCK = 4096
 RANDOM_WORDS, HARD_WORDS = 12_000, 4000
-# A word is a witness from the start if it has a run of characters that this share of toxic texts has, so many times the share of clean texts.
-RUN = 4
+# Times that a clean word with a telling run weighs among clean words.
+ALIKE = 30.0
+# A word is a witness from the start if it has a run of characters that this share of toxic texts has, so many times the share of
+# clean texts: in one word, or in several different ones, as clean texts hold a rare run once by chance.
+RUNS, REPEATS = (4, 5, 6), (1, 2, 3)
 WITNESS_SHARE, WITNESS_RATIO = 0.01, 20
+_FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 _SPACED = re.compile(r"(?:(?<=\s)|(?<=^))(?:\S[ \t]){3,}\S(?=\s|$)")
 _SIGNS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalpha())
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -65,18 +69,20 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer(("".join(f" {w} " for w in words)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), lengths)
     at, keys, weights = [], [], []
-    for first, second in GAPS:
-        span = first + second
+    for steps in GAPS:
+        span = sum(steps)
         n = len(codes) - span
         if n <= 0:
             continue
-        a, b, c = codes[:n], codes[first : first + n], codes[span:]
-        inside = owner[:n] == owner[span:]
-        key = (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F) + c * np.uint64(0x165667B19E3779F9))[inside]
+        inside = np.flatnonzero(owner[:n] == owner[span:])
+        key, place = codes[inside] * _FACTORS[0], inside
+        for step, factor in zip(steps, _FACTORS[1:]):
+            place = place + step
+            key = key + codes[place] * factor
         key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        at.append(owner[:n][inside])
+        at.append(owner[inside])
         keys.append((key >> np.uint64(64 - HASH_BITS)).astype(np.int64))
-        weights.append(np.full(len(keys[-1]), DECAY ** (span - 2)))
+        weights.append(np.full(len(inside), DECAY ** (span - len(steps))))
     if not at:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return np.concatenate(at), np.concatenate(keys), np.concatenate(weights)
@@ -162,19 +168,21 @@ def learn(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
         return None
     against = Counter(w for b in clean_bags for w in b)
     every = sorted(set().union(*bags))
-    runs = {w: {f" {w} "[i : i + RUN] for i in range(len(w) + 3 - RUN)} for w in every}
-    seen = Counter(r for b in bags for r in set().union(*(runs[w] for w in b)))
-    among = Counter(r for b in clean_bags for r in set().union(*({f" {w} "[i : i + RUN] for i in range(len(w) + 3 - RUN)} for w in b)))
+    runs = {w: _runs(w) for w in every}
+    # (run, k): in how many texts at least k different words have the run.
+    seen = Counter(key for b in bags for key in _repeats(runs[w] for w in b))
+    among = Counter(key for b in clean_bags for key in _repeats(_runs(w) for w in b) if key in seen)
     common = max(3, WITNESS_SHARE * len(bags))
-    telling = {r for r, n in seen.items() if n >= common and n / len(bags) >= WITNESS_RATIO * (among[r] + 0.1) / max(len(clean_bags), 1)}
+    telling = {key[0] for key, n in seen.items() if n >= common and n / len(bags) >= WITNESS_RATIO * (among[key] + 0.1) / max(len(clean_bags), 1)}
     witnesses = Counter(w for b in bags for w in b if not telling.isdisjoint(runs[w]))
     often = Counter(w for b in bags for w in b)
     witnesses = Counter({w: n for w, n in witnesses.items() if often[w] / len(bags) >= WITNESS_RATIO * against[w] / max(len(clean_bags), 1)})
     if not witnesses:
-        witnesses = Counter(max(b, key=lambda w: (max((seen[r] / (among[r] + 1) for r in runs[w]), default=0), w)) for b in bags)
+        witnesses = Counter(max(b, key=lambda w: (max((seen[r, 1] / (among[r, 1] + 1) for r in runs[w]), default=0), w)) for b in bags)
     negatives = sorted(against)
+    alike = {w for w in negatives if not telling.isdisjoint(_runs(w))}
     rng = np.random.default_rng(0)
-    hard = [negatives[i] for i in sorted(rng.choice(len(negatives), min(len(negatives), RANDOM_WORDS), replace=False))]
+    hard = sorted(alike | {negatives[i] for i in rng.choice(len(negatives), min(len(negatives), RANDOM_WORDS), replace=False)})
     machine, best, low = None, {}, {}
     chosen: list[str] = []
     for step in range(rounds):
@@ -187,6 +195,8 @@ def learn(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
         root = vectors[:, kept] / np.sqrt(values[kept])
         y = np.concatenate([np.ones(len(positives)), -np.ones(len(hard))])
         weight = np.concatenate([np.sqrt([witnesses[w] for w in positives]), np.array([against[w] for w in hard], dtype=float) ** 0.75])
+        # Clean words that look like witnesses tell how far such a look can be trusted.
+        weight[len(positives) :] *= [ALIKE if w in alike else 1.0 for w in hard]
         weight[: len(positives)] /= weight[: len(positives)].sum()
         weight[len(positives) :] /= weight[len(positives) :].sum()
         w = _svm(_kernel(positives + hard, chosen) @ root, y, weight, c=COST)
@@ -197,7 +207,7 @@ def learn(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
         machine = Machine(table.astype(np.float32), float(w[-1]))
         low = dict(zip(negatives, machine.margins(negatives).tolist()))
         worst = sorted(negatives, key=lambda w: (low[w], w))[-HARD_WORDS:]
-        hard = sorted(set(hard) - set(worst)) + worst
+        hard = sorted((set(hard) | alike) - set(worst)) + worst
         best = dict(zip(every, machine.margins(every).tolist()))
         found = [max(b, key=lambda w: (best[w], w)) for b in bags if witnesses.keys().isdisjoint(b)]
         witnesses.update(w for w in found if best[w] > 0 and not against[w])
@@ -207,16 +217,25 @@ def learn(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
     return machine
 
 
+def _runs(word: str) -> set[str]:
+    framed = f" {word} "
+    return {framed[i : i + n] for n in RUNS for i in range(len(framed) + 1 - n)}
+
+
+def _repeats(words: Iterable[set[str]]) -> Iterator[tuple[str, int]]:
+    for run, n in Counter(r for runs in words for r in runs).items():
+        yield from ((run, k) for k in REPEATS if n >= k)
+
+
 def _platt(high: np.ndarray, low: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through margins of toxic and clean texts, classes weighing the same."""
+    """Slope and shift of a logistic curve through margins of toxic and clean texts."""
     x, y = np.concatenate([high, low]), np.concatenate([np.ones(len(high)), np.zeros(len(low))])
-    weight = np.where(y == 1, 0.5 / len(high), 0.5 / len(low))
     p = np.array([1.0, 0.0])
     design = np.stack([x, np.ones(len(x))], axis=1)
     for _ in range(100):
         q = 1 / (1 + np.exp(-np.clip(design @ p, -30, 30)))
-        slope = design.T @ (weight * (q - y)) + np.array([1e-3 * p[0], 0])
-        bend = design.T @ (design * (weight * q * (1 - q))[:, None]) + np.diag([1e-3, 1e-9])
+        slope = design.T @ (q - y) / len(x) + np.array([1e-3 * p[0], 0])
+        bend = design.T @ (design * (q * (1 - q))[:, None]) / len(x) + np.diag([1e-3, 1e-9])
         step = np.linalg.solve(bend, slope)
         p = p - step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
@@ -227,7 +246,8 @@ def _platt(high: np.ndarray, low: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Machine | None:
     """Learn from labels (doc_id, toxic) of documents that are not held out: an expected ``train_docs`` of either class, by hash.
 
-    Texts of the sample reach the driver, at most ``train_chars`` characters each. Null labels and null texts are left out.
+    Texts of the sample reach the driver, about ``train_chars`` characters each at most: of a longer one as many of its sentences.
+    Null labels and null texts are left out.
     """
     rated = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("__rated"), (F.col("toxic") == 1).alias("toxic"))
     sizes = {r["toxic"]: r["rows"] for r in rated.groupBy("toxic").agg(F.count(F.lit(1)).alias("rows")).collect()}
@@ -235,7 +255,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     share = F.when(F.col("toxic"), train_docs / sizes[True]).otherwise(2 * train_docs / sizes[False])
     drawn = rated.where(F.pmod(F.xxhash64("__rated"), F.lit(1 << 20)) < share * float(1 << 20))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= train_chars)
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
+    # Of a long text sentences are drawn by a hash of place and content, where it is read; one as long as all that is drawn is cut.
+    sentences = F.split(F.col("text"), r"(?<=[.!?])\s+|\n+")
+    share = F.lit(train_chars * float(1 << 20)) / F.length("text")
+    drawn_text = F.left(F.concat_ws("\n", F.filter(sentences, lambda x, i: F.pmod(F.xxhash64(x, i), F.lit(1 << 20)) < share)), F.lit(2 * train_chars))
+    rows = rows.withColumn("text", F.when(F.length("text") <= train_chars, F.col("text")).otherwise(drawn_text))
     # The draw is small at any size of the corpus: broadcast after a count, so that no text is shuffled to find its label.
     sample = sorted((r["toxic"], r["text"]) for r in rows.join(broadcast_if_small(drawn), F.col("__id") == F.col("__rated")).select("toxic", "text").collect())
     return learn([t for toxic, t in sample if toxic], [t for toxic, t in sample if not toxic])
