@@ -61,13 +61,13 @@ def count(audit: DataFrame) -> DataFrame:
 
 
 def retained(audit: DataFrame, as_of: object, retention_days: int | None) -> DataFrame:
-    """Events young enough to keep; no period keeps everything."""
+    """Events young enough to keep; no period keeps everything, and an event without a time is kept."""
     if retention_days is None:
         return audit
     if retention_days < 0:
         raise ValueError("retention_days must not be negative")
     cutoff = typed_literal(audit, "ts", as_of) - F.make_dt_interval(days=F.lit(retention_days))
-    return audit.where(F.col("ts") >= cutoff)
+    return audit.where((F.col("ts") >= cutoff) | F.col("ts").isNull())
 
 
 def expired(audit: DataFrame, as_of: object, retention_days: int) -> DataFrame:

@@ -69,6 +69,28 @@ def token_count(df: DataFrame, columns: list[str], approximate: bool = False) ->
     )
 
 
+# Size of the distinct-count sketches (2 to this power registers), and the relative error that they stay within (three standard errors).
+SKETCH_BITS, SKETCH_ERROR = 14, 0.025
+
+
+def token_sketches(df: DataFrame, columns: list[str], batch: Column) -> DataFrame:
+    """Mergeable sketches ``(batch, column_name, sketch)`` of the values that tokens are issued for, to be appended to a table of sketches.
+
+    Sketches of batches and columns unite without their rows: ``sketched_token_count`` never reads old rows again.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    of = lambda c: F.when(~mk.is_blank(F.col(c), kinds[c]), mk.canonical_text(F.col(c), kinds[c]))
+    made = df.groupBy(batch.alias("batch")).agg(*[F.hll_sketch_agg(of(c), SKETCH_BITS).alias(f"s{i}") for i, c in enumerate(columns)])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"s{i}").alias("sketch")) for i, c in enumerate(columns)]))
+    return made.select("batch", each.alias("s")).select("batch", "s.column_name", "s.sketch").where(F.col("sketch").isNotNull())
+
+
+def sketched_token_count(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Distinct tokens over all batches, within SKETCH_ERROR; ``by`` columns (``column_name``, ``batch``) are counted apart."""
+    count = F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("token_count")
+    return sketches.groupBy(*by).agg(count) if by else sketches.agg(count)
+
+
 def rotate_tokens(vault: DataFrame, new_epoch: str) -> DataFrame:
     """Old and new token of every vault value."""
     return vault.select(

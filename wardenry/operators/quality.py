@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardenry.functions.checks import column_errors, parse_record, record_errors, required_fields
@@ -58,3 +58,32 @@ def summarise(checked: DataFrame, threshold: float = DEFAULT_THRESHOLD, by: list
     ]
     grouped = checked.groupBy(*by).agg(*counts) if by else checked.agg(*counts)
     return with_gate(grouped, threshold)
+
+
+def rolling(checked: DataFrame, ts: str, window: str, slide: str, threshold: float = DEFAULT_THRESHOLD, by: list[str] | None = None,
+            watermark: str | None = "10 minutes") -> DataFrame:
+    """The gate over sliding windows of event time: each window's counts, score and breaker, over batches and streams alike.
+
+    A stream gives a window once its watermark has passed the end; the counts of open windows are in its state, so records of many
+    batches close the gate together. Each record is counted in every window that covers it.
+    """
+    timed = checked.withColumn("_at", F.col(ts).cast("timestamp"))
+    if timed.isStreaming:
+        if not watermark:
+            raise ValueError("without a watermark no window ever closes")
+        timed = timed.withWatermark("_at", watermark)
+    counts = timed.groupBy(F.window("_at", window, slide), *(by or [])).agg(
+        F.count_if(passed()).alias("passed_records"), F.count_if(~passed()).alias("failed_records")
+    )
+    return with_gate(counts.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *(by or []), "passed_records", "failed_records"), threshold)
+
+
+def closed_spans(windows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """When the gate is closed: from the end of a window that fell below the threshold to the end of the next one that did not.
+
+    ``(by..., closed_at, reopened_at)``, ``reopened_at`` null while it is still closed. Only windows meet in a group, never records.
+    """
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("window_end")
+    changed = windows.withColumn("_before", F.lag("circuit_breaker_triggered", 1, False).over(order)).where("circuit_breaker_triggered <> _before")
+    next_change = changed.withColumn("reopened_at", F.lead("window_end").over(order))
+    return next_change.where("circuit_breaker_triggered").select(*(by or []), F.col("window_end").alias("closed_at"), "reopened_at")

@@ -35,10 +35,22 @@ def latest_registrations(tenants: DataFrame) -> DataFrame:
     return last.select(*[F.col("_row")[c].alias(c) for c in tenants.columns])
 
 
+# Steps of a binary search, for lists of up to twice as many entries.
+_STEPS = [1 << n for n in range(23, -1, -1)]
+
+
+def _in_sorted(value: Column, entries: Column) -> Column:
+    """Whether a sorted array holds the value: a binary search, so a list of thousands costs a dozen comparisons."""
+    steps = F.filter(F.array(*map(F.lit, _STEPS)), lambda step: step <= F.size(entries))
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(entries, at + step - 1) <= value, step).otherwise(0))
+    return F.coalesce(F.get(entries, below - 1) == value, F.lit(False))
+
+
 def compile_policies(tenants: DataFrame) -> DataFrame:
     """Sort every allow-list into exact names, plain prefixes and regular expressions, once per tenant.
 
-    Most patterns then cost a set probe or a prefix test, and only real globs and expressions run the regex engine.
+    Names and prefixes are sorted, and prefixes are filed with the lengths they have: a resource is looked up once, and its start once a
+    length. Only real globs and expressions run the regex engine.
     """
     listed = F.coalesce("allowed_resources", F.array().cast("array<string>"))
     is_regex = lambda p: p.startswith(pt.REGEX_PREFIX)
@@ -48,11 +60,12 @@ def compile_policies(tenants: DataFrame) -> DataFrame:
         F.filter(listed, is_regex),
         lambda p: F.concat(F.lit(r"\A(?:"), F.substr(p, F.lit(len(pt.REGEX_PREFIX) + 1)), F.lit(")")),
     )
+    prefixes = F.array_sort(F.array_distinct(F.transform(F.filter(listed, is_prefix), lambda p: F.regexp_replace(p, r"\*\z", ""))))
     return tenants.select(
         "tenant_id", "enabled", "allowed_connector_types",
         (F.size(listed) > 0).alias("_restricted"),
-        listed.alias("_exact"),
-        F.transform(F.filter(listed, is_prefix), lambda p: F.regexp_replace(p, r"\*\z", "")).alias("_prefixes"),
+        F.array_sort(F.array_distinct(F.array_compact(listed))).alias("_exact"),
+        prefixes.alias("_prefixes"), F.array_distinct(F.transform(prefixes, F.length)).alias("_lengths"),
         F.concat(F.transform(F.filter(listed, is_glob), pt.glob_regex), anchored).alias("_regexes"),
     )
 
@@ -60,8 +73,8 @@ def compile_policies(tenants: DataFrame) -> DataFrame:
 def allowed(resource: Column) -> Column:
     """Whether any pattern of the compiled policy on the same row matches."""
     return (
-        F.array_contains("_exact", resource)
-        | F.exists("_prefixes", lambda p: resource.startswith(p))
+        _in_sorted(resource, F.col("_exact"))
+        | F.exists("_lengths", lambda n: (F.length(resource) >= n) & _in_sorted(F.left(resource, n), F.col("_prefixes")))
         | F.exists("_regexes", lambda p: F.call_function("rlike", resource, p))
     )
 

@@ -14,7 +14,7 @@ from wardenry.operators import (
 )
 from wardenry.plans.bindings import table, view, with_views
 from wardenry.schemas import moment
-from wardenry.session import configure
+from wardenry.session import configure, scratch_path
 from wardenry.sources import tables as query_scans
 from wardenry.sources import topics
 
@@ -181,6 +181,28 @@ def msk8_tokens(spark, sf):
     return masking.token_count(view(spark, sf, "kyc"), ["email", "card", "segment", "note"])
 
 
+@query("msk8_sketch", ["kyc"], """
+SELECT column_name, CAST(2 AS BIGINT) AS batches, true AS within_error FROM (VALUES ('email'), ('card'), ('segment'), ('note')) t(column_name)
+UNION ALL SELECT 'all', 2, true""")
+def msk8_sketch(spark, sf):
+    """Sketches of two batches, united per column and over all, against the exact counts of the same rows."""
+    columns = ["email", "card", "segment", "note"]
+    kyc = view(spark, sf, "kyc")
+    path = scratch_path(spark, "sketches")
+    for part in (0, 1):  # the second batch brings half of the first again
+        rows = kyc.where(F.col("customer_id").cast("long") % 4 <= 1 if part == 0 else F.col("customer_id").cast("long") % 4 >= 1)
+        masking.token_sketches(rows, columns, F.lit(part)).write.mode("append").parquet(path)
+    held = spark.read.parquet(path)
+    each = masking.sketched_token_count(held, ["column_name"]).join(held.groupBy("column_name").agg(F.countDistinct("batch").alias("batches")), "column_name")
+    whole = masking.sketched_token_count(held).select(F.lit("all").alias("column_name"), "token_count", F.lit(2).cast("long").alias("batches"))
+    exact = None
+    for name, over in [*((c, [c]) for c in columns), ("all", columns)]:
+        one = masking.token_count(kyc, over).select(F.lit(name).alias("column_name"), F.col("token_count").alias("exact"))
+        exact = one if exact is None else exact.unionByName(one)
+    off = F.abs(F.col("token_count") - F.col("exact")) <= F.col("exact") * masking.SKETCH_ERROR
+    return each.select("column_name", "token_count", "batches").unionByName(whole).join(exact, "column_name").select("column_name", "batches", off.alias("within_error"))
+
+
 def kyc_vault(spark, sf):
     """A vault of e-mail and card tokens; owners of the automobile segment have tokens that expire."""
     kyc = view(spark, sf, "kyc")
@@ -430,6 +452,41 @@ def qlt4_breaker(spark, sf):
     return gates[0].unionByName(gates[1]).unionByName(gates[2])
 
 
+_ROLLING_SQL = """
+w AS (
+  SELECT tenant_id, status, ts, to_timestamp(epoch(time_bucket(INTERVAL 6 HOUR, ts)) - 21600 * k) AS window_start FROM audit, (VALUES (0), (1), (2), (3)) s(k)),
+g AS (
+  SELECT tenant_id, window_start, count(*) FILTER (WHERE status = 'SUCCESS') AS passed_records, count(*) FILTER (WHERE status <> 'SUCCESS') AS failed_records
+  FROM w GROUP BY tenant_id, window_start),
+b AS (
+  SELECT *, CAST(passed_records AS DOUBLE) / CAST(passed_records + failed_records AS DOUBLE) AS quality_score,
+         CAST(passed_records AS DOUBLE) / CAST(passed_records + failed_records AS DOUBLE) < 0.9 AS tripped,
+         CAST(epoch_us(window_start) AS BIGINT) + 86400000000 AS end_us FROM g)
+"""
+
+
+def rolling_gate(spark, sf):
+    """A day's window every six hours over audit events, in which only successes are whole records."""
+    log = view(spark, sf, "audit").withColumn("done", F.when(F.col("status") == "SUCCESS", "x"))
+    return quality.rolling(quality.with_errors(log.select("ts", "tenant_id", "done"), {"done": {"required": True}}), "ts", "24 hours", "6 hours", 0.9, ["tenant_id"])
+
+
+@query("qlt4_rolling", ["audit"], f"WITH {_ROLLING_SQL} SELECT tenant_id, end_us, passed_records, failed_records, quality_score, tripped FROM b")
+def qlt4_rolling(spark, sf):
+    return rolling_gate(spark, sf).select(
+        "tenant_id", micros("window_end").alias("end_us"), "passed_records", "failed_records", "quality_score", F.col("circuit_breaker_triggered").alias("tripped"))
+
+
+@query("qlt4_closed", ["audit"], f"""
+WITH {_ROLLING_SQL},
+c AS (SELECT tenant_id, end_us, tripped FROM (SELECT *, lag(tripped, 1, false) OVER (PARTITION BY tenant_id ORDER BY end_us) AS was FROM b) x WHERE tripped <> was)
+SELECT tenant_id, closed_us, reopened_us FROM (
+  SELECT tenant_id, end_us AS closed_us, lead(end_us) OVER (PARTITION BY tenant_id ORDER BY end_us) AS reopened_us, tripped FROM c) y WHERE tripped""")
+def qlt4_closed(spark, sf):
+    spans = quality.closed_spans(rolling_gate(spark, sf), ["tenant_id"])
+    return spans.select("tenant_id", micros("closed_at").alias("closed_us"), micros("reopened_at").alias("reopened_us"))
+
+
 @query("qlt5_by_tenant", ["kyc_json"], f"""
 SELECT *, quality_score < 0.9 AS circuit_breaker_triggered FROM (SELECT tenant_id, {_GATE_SQL} FROM ({_MISSING_SQL}) m GROUP BY tenant_id) s""")
 def qlt5_by_tenant(spark, sf):
@@ -944,6 +1001,23 @@ def ten3_decide(spark, sf):
     return decided.select("tenant_id", "resource", "decision", "reason")
 
 
+@query("ten3_many_patterns", [], """
+WITH ids AS (SELECT o_orderkey AS k, CAST(o_orderkey AS STRING) AS t FROM orders),
+prefixes AS (SELECT DISTINCT substr(t, 1, greatest(length(t) - 1, 2)) AS p FROM ids WHERE k % 3 = 0)
+SELECT 's3://orders/' || t AS resource,
+  CASE WHEN EXISTS (SELECT 1 FROM prefixes WHERE starts_with(ids.t, p)) OR k % 7 = 0 THEN 'allow' ELSE 'deny' END AS decision FROM ids""")
+def ten3_many_patterns(spark, sf):
+    """A tenant whose list has a prefix or a name for thousands of orders."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("t"))
+    uri = F.concat(F.lit("s3://orders/"), F.col("t"))
+    start = F.concat(F.lit("s3://orders/"), F.left("t", F.greatest(F.length("t") - 1, F.lit(2))), F.lit("*"))
+    patterns = orders.select(F.explode(F.array_compact(F.array(F.when(F.col("k") % 3 == 0, start), F.when(F.col("k") % 7 == 0, uri)))).alias("p")).distinct()
+    tenants = patterns.agg(F.collect_list("p").alias("allowed_resources")).select(
+        F.lit("tenant_x").alias("tenant_id"), F.lit("x").alias("name"), F.lit(True).alias("enabled"), "allowed_resources", F.array().cast("array<string>").alias("allowed_connector_types"))
+    asked = orders.select(F.lit("tenant_x").alias("tenant_id"), uri.alias("resource"))
+    return tenancy.decide(asked, tenants).select("resource", "decision")
+
+
 @query("ten4_keys", ["access"], """
 SELECT tenant_id || '/' || resource AS object_key, tenant_id || '_' || connector_type AS topic FROM access""")
 def ten4_keys(spark, sf):

@@ -451,18 +451,21 @@ def store_tokens(store: TableStore, values: DataFrame, created_at: object, ttl_s
 
 
 def expire_audit(store: TableStore, as_of: datetime, retention_days: int | None) -> None:
-    """Rewrite the audit table without events past the retention period and log the purge per tenant (AUD-8)."""
+    """Rewrite the audit table without events past the retention period and log the purge per tenant (AUD-8).
+
+    The rewritten days and the purge's own events are one commit. Then the files of what was purged are deleted; a run that dies before
+    leaves them to the next one, which deletes what no commit names even if nothing has expired since.
+    """
     if retention_days is None:
         return
     with store.transaction() as change:
         current = store.read(AUDIT_TABLE, change.base)
-        purged = audit.expired(current, as_of, retention_days).groupBy("tenant_id").agg(F.count("*").alias("n"))
-        # Days before the cutoff lose their folders, days after it keep their files; only the cutoff's day is written again.
-        last_day = (as_of - timedelta(days=retention_days)).date()
-        boundary = audit.retained(current.where(F.col("dt") == F.lit(last_day)), as_of, retention_days)
-        change.replace_partitions(AUDIT_TABLE, boundary, lambda values: values["dt"] <= last_day.isoformat())
         purges = change.new_folder("purges")
-        purged.write.parquet(purges)
+        audit.expired(current, as_of, retention_days).groupBy("tenant_id").agg(F.count("*").alias("n")).write.parquet(purges)
         counted = store.spark.read.schema("tenant_id string, n long").parquet(purges)
-    with store.transaction() as change:
+        # Days before the cutoff lose their folders, days after it keep their files; only the cutoff's day and events without one are written again.
+        last_day = (as_of - timedelta(days=retention_days)).date()
+        boundary = audit.retained(current.where((F.col("dt") == F.lit(last_day)) | F.col("dt").isNull()), as_of, retention_days)
+        change.replace_partitions(AUDIT_TABLE, boundary, lambda values: values["dt"] is None or values["dt"] <= last_day.isoformat())
         log_audit(change, audit.events(counted, "AUDIT_RETENTION_PURGE", details={"purged_events": F.col("n")}))
+    store.vacuum()
