@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,7 @@ RANDOM_WORDS, HARD_WORDS = 12_000, 4000
 ALIKE = 30.0
 # A word is a witness from the start if it has a run of characters that this share of toxic texts has, so many times the share of
 # clean texts: in one word, or in several different ones, as clean texts hold a rare run once by chance.
-RUNS, REPEATS = (4, 5, 6), (1, 2, 3)
+RUNS, REPEATS, RUN_BITS = (4, 5, 6), (1, 2, 3), 22
 WITNESS_SHARE, WITNESS_RATIO = 0.01, 20
 _FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 _SPACED = re.compile(r"(?:(?<=\s)|(?<=^))(?:\S[ \t]){3,}\S(?=\s|$)")
@@ -122,8 +122,8 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     np.add.at(dense, (back, at), weights)
     dense /= np.maximum(np.sqrt(np.bincount(at, weights**2, len(landmarks))), 1e-12)[None, :]
     out = np.zeros((len(words), len(landmarks)))
-    for first in range(0, len(words), BLOCK // 4):
-        part = words[first : first + BLOCK // 4]
+    for first in range(0, len(words), BLOCK // 16):
+        part = words[first : first + BLOCK // 16]
         at, keys, weights = subsequences(part)
         norm = np.maximum(np.sqrt(np.bincount(at, weights**2, len(part))), 1e-12)
         place = np.minimum(np.searchsorted(used, keys), len(used) - 1)
@@ -161,26 +161,27 @@ def learn(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
     than in clean texts, then also the most toxic word of every other text; in each round they stand against words of clean sentences, hardest ones included. Landmarks are
     drawn from both. The document's probability is fitted to its highest margin over all sentences.
     """
-    bags = [sorted(set().union(*map(words_of, sentences_of(t)))) for t in toxic]
-    clean_bags = [sorted(set().union(*map(words_of, sentences_of(t)))) for t in clean]
+    pool: dict[str, str] = {}
+    # A word of many texts is in memory once.
+    bag_of = lambda text: sorted(pool.setdefault(w, w) for w in set().union(*map(words_of, sentences_of(text))))
+    bags, clean_bags = [bag_of(t) for t in toxic], [bag_of(t) for t in clean]
     bags = [b for b in bags if b]
     if not bags or not any(clean_bags):
         return None
     against = Counter(w for b in clean_bags for w in b)
     every = sorted(set().union(*bags))
-    runs = {w: _runs(w) for w in every}
-    # (run, k): in how many texts at least k different words have the run.
-    seen = Counter(key for b in bags for key in _repeats(runs[w] for w in b))
-    among = Counter(key for b in clean_bags for key in _repeats(_runs(w) for w in b) if key in seen)
+    # In how many texts at least k different words have a run, for each run and k.
+    seen, among = _run_counts(bags), _run_counts(clean_bags)
     common = max(3, WITNESS_SHARE * len(bags))
-    telling = {key[0] for key, n in seen.items() if n >= common and n / len(bags) >= WITNESS_RATIO * (among[key] + 0.1) / max(len(clean_bags), 1)}
-    witnesses = Counter(w for b in bags for w in b if not telling.isdisjoint(runs[w]))
+    telling = ((seen >= common) & (seen / len(bags) >= WITNESS_RATIO * (among + 0.1) / max(len(clean_bags), 1))).any(axis=0)
+    ratio = seen[0] / (among[0] + 1)
+    witnesses = Counter(w for b in bags for w, tells in zip(b, _best_run(b, telling)) if tells)
     often = Counter(w for b in bags for w in b)
     witnesses = Counter({w: n for w, n in witnesses.items() if often[w] / len(bags) >= WITNESS_RATIO * against[w] / max(len(clean_bags), 1)})
     if not witnesses:
-        witnesses = Counter(max(b, key=lambda w: (max((seen[r, 1] / (among[r, 1] + 1) for r in runs[w]), default=0), w)) for b in bags)
+        witnesses = Counter(max(zip(_best_run(b, ratio), b))[1] for b in bags)
     negatives = sorted(against)
-    alike = {w for w in negatives if not telling.isdisjoint(_runs(w))}
+    alike = {w for w, tells in zip(negatives, _best_run(negatives, telling)) if tells}
     rng = np.random.default_rng(0)
     hard = sorted(alike | {negatives[i] for i in rng.choice(len(negatives), min(len(negatives), RANDOM_WORDS), replace=False)})
     machine, best, low = None, {}, {}
@@ -217,14 +218,42 @@ def learn(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, rounds
     return machine
 
 
-def _runs(word: str) -> set[str]:
-    framed = f" {word} "
-    return {framed[i : i + n] for n in RUNS for i in range(len(framed) + 1 - n)}
+def _runs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hashed run) of every run of RUNS characters in words that blanks frame, each once a word."""
+    lengths = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    codes = np.frombuffer(("".join(f" {w} " for w in words)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    found = [np.zeros(0, np.int64)]
+    for size in RUNS:
+        n = len(codes) - size + 1
+        if n > 0:
+            inside = np.flatnonzero(owner[:n] == owner[size - 1 :])
+            key = np.full(len(inside), size, np.uint64)
+            for step in range(size):
+                key = key * _FACTORS[0] + codes[inside + step]
+            key = (key ^ (key >> np.uint64(29))) * _FACTORS[1]
+            found.append((owner[inside] << RUN_BITS) | (key >> np.uint64(64 - RUN_BITS)).astype(np.int64))
+    pairs = np.unique(np.concatenate(found))
+    return pairs >> RUN_BITS, pairs & ((1 << RUN_BITS) - 1)
+
+
+def _run_counts(bags: list[list[str]]) -> np.ndarray:
+    """For each k of REPEATS and each run, in how many texts at least k different words have it: tables of one size for any number of runs."""
+    out = np.zeros((len(REPEATS), 1 << RUN_BITS), np.int32)
+    for bag in bags:
+        runs, n = np.unique(_runs(bag)[1], return_counts=True)
+        for row, k in enumerate(REPEATS):
+            out[row, runs[n >= k]] += 1
+    return out
 
 
-def _repeats(words: Iterable[set[str]]) -> Iterator[tuple[str, int]]:
-    for run, n in Counter(r for runs in words for r in runs).items():
-        yield from ((run, k) for k in REPEATS if n >= k)
+def _best_run(words: list[str], value: np.ndarray) -> list[float]:
+    """The highest value among each word's runs."""
+    out = np.zeros(len(words), value.dtype)
+    for first in range(0, len(words), BLOCK):
+        owner, runs = _runs(words[first : first + BLOCK])
+        np.maximum.at(out, first + owner, value[runs])
+    return out.tolist()
 
 
 def _platt(high: np.ndarray, low: np.ndarray) -> tuple[float, float]:
