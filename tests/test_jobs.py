@@ -264,6 +264,26 @@ def test_audit_retention_is_logged(spark, store):
     assert actions(store) == ["A", "AUDIT_RETENTION_PURGE"]
 
 
+def test_purged_events_leave_the_disk(spark, store):
+    """Events without a time or a day stay; what is purged is in no file, and a purge that died before deleting is finished by the next."""
+    day = lambda *d: datetime(*d)
+    rows = [(f"e{i}", ts, "A", "u", "t", None, {}, "SUCCESS", None, ts.date() if ts and i != 4 else None)
+            for i, ts in enumerate([day(2024, 1, 1), day(2024, 2, 1, 1), day(2024, 2, 1, 23), None, day(2024, 1, 2), day(2024, 3, 1)])]
+    with store.transaction() as change:
+        change.append("audit", spark.createDataFrame(rows, S.AUDIT), ["tenant_id", "dt"])
+    files = lambda: {r.event_id for r in spark.read.option("recursiveFileLookup", "true").schema(S.AUDIT).parquet(f"{store.root}/data/audit").where("action = 'A'").collect()}
+    vacuum, store.vacuum = store.vacuum, lambda: None  # dies before it deletes
+    version = store.version()
+    jobs.expire_audit(store, datetime(2024, 3, 2, 12), 30)
+    assert store.version() == version + 1 and len(files()) == 6
+    store.vacuum = vacuum
+    jobs.expire_audit(store, datetime(2024, 3, 2, 12), 30)
+    kept = {"e2", "e3", "e5"}
+    assert files() == kept == {r.event_id for r in store.read("audit").where("action = 'A'").collect()}
+    purges = store.read("audit").where("action = 'AUDIT_RETENTION_PURGE'").collect()
+    assert [r.details["purged_events"] for r in purges] == ["3"]
+
+
 def test_stream_equals_batch_and_skips_repeated_batches(spark, store, tmp_path):
     rows = [("t1", GOOD.replace("1", str(i))) for i in range(20)] + [("t2", "{}")]
     df = records(spark, *rows).select("tenant_id", F.encode("record", "utf-8").alias("value"))

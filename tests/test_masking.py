@@ -127,3 +127,19 @@ def test_rotation_changes_every_token(spark):
 def test_unknown_strategy_is_refused(spark):
     with pytest.raises(ValueError):
         masked_value(spark, "x", T.StringType(), "rot13")
+
+
+def test_token_sketches_unite(spark):
+    """Batches and columns are counted from their sketches alone; blanks hold no token."""
+    rows = [(str(i % 900), str(i % 50) if i % 3 else None, i) for i in range(3000)] + [("", "null", 1), ("NULL", "", 2)]
+    df = spark.createDataFrame(rows, "a string, b string, n int")
+    parts = [masking.token_sketches(df.where(f"n % 3 <= {k}"), ["a", "b"], F.lit(k)) for k in range(3)]
+    held = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    assert held.count() == 6
+    for by, exact in ((["a"], "a"), (["b"], "b")):
+        estimate = {r.column_name: r.token_count for r in masking.sketched_token_count(held, ["column_name"]).collect()}[exact]
+        want = masking.token_count(df, by).first().token_count
+        assert abs(estimate - want) <= masking.SKETCH_ERROR * want
+    want = masking.token_count(df, ["a", "b"]).first().token_count
+    assert abs(masking.sketched_token_count(held).first().token_count - want) <= masking.SKETCH_ERROR * want
+    assert masking.token_sketches(df.limit(0), ["a"], F.lit(0)).count() == 0

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -9,6 +9,32 @@ from wardenry.operators import conformance, quality, registry
 USER_RULES = {"id": {"type": "string", "required": True}, "email": {"type": "string", "required": True}, "age": {"type": "int"}}
 
 
+def test_rolling_gate_over_batches_of_a_stream(spark, tmp_path):
+    """Failures of three batches fall into one window, which no batch alone would show."""
+    schema = "ts timestamp, tenant_id string, id string"
+    start = datetime(2024, 1, 1)
+    batches = [[(0, "a"), (10, None)], [(20, None), (25, "b")], [(40, None), (70, "c"), (80, "d"), (200, "e")]]
+    rows = []
+    for batch in batches:
+        part = [(start + timedelta(minutes=m), "t", v) for m, v in batch]
+        rows += part
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file:{tmp_path}/in")
+    rules = {"id": {"required": True}}
+    gate = lambda df: quality.rolling(quality.with_errors(df, rules), "ts", "60 minutes", "30 minutes", 0.5, ["tenant_id"])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file:{tmp_path}/in")
+    gate(stream).writeStream.format("parquet").option("checkpointLocation", f"file:{tmp_path}/ck").trigger(availableNow=True).start(f"file:{tmp_path}/out").awaitTermination()
+    told = lambda df: sorted((r.window_end, r.passed_records, r.failed_records, r.circuit_breaker_triggered) for r in df.collect())
+    whole = gate(spark.createDataFrame(rows, schema))
+    streamed = spark.read.parquet(f"file:{tmp_path}/out")
+    assert told(streamed) == [w for w in told(whole) if w[0] <= start + timedelta(minutes=190)]
+    first = told(whole)[1]
+    assert first == (start + timedelta(minutes=60), 2, 3, True)
+    spans = quality.closed_spans(whole, ["tenant_id"]).collect()
+    assert [(r.closed_at - start, r.reopened_at - start) for r in spans] == [(timedelta(minutes=60), timedelta(minutes=90))]
+    with pytest.raises(ValueError):
+        quality.rolling(quality.with_errors(stream, rules), "ts", "1 hour", "1 hour", watermark=None)
+
+
 def records(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "key int, record string")
 

@@ -14,6 +14,20 @@ from wardenry.functions import patterns as pt
 from wardenry.operators import conformance, tenancy
 
 
+def test_long_lists_equal_plain_tests(spark):
+    """Names and prefixes found by binary search, for lists of no, one and many entries, and starts of other starts."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab/é") for _ in range(rng.randint(0, 6)))
+    lists = {"none": [], "one": ["ab*"], "all": ["*"], "many": [word() + rng.choice(["", "*"]) for _ in range(300)], "nested": ["a*", "ab*", "abb", "b/", "é*"]}
+    tenants = spark.createDataFrame([(t, "x", True, p, None) for t, p in lists.items()], S.TENANTS)
+    asked = [(t, word()) for t in lists for _ in range(80)]
+    got = tenancy.decide(spark.createDataFrame(asked, "tenant_id string, resource string"), tenants).collect()
+    for r in got:
+        patterns = lists[r.tenant_id]
+        fits = not patterns or any(r.resource == p or (p.endswith("*") and r.resource.startswith(p[:-1])) for p in patterns)
+        assert (r.decision == "allow") == fits, (r, fits)
+
+
 @pytest.mark.parametrize("value, reason", [
     ("", "empty_tenant_id"), (None, "empty_tenant_id"), ("../admin", "invalid_characters"), ("tenant/admin", "invalid_characters"),
     ("tenant\\admin", "invalid_characters"), ("a\0b", "invalid_characters"), ("t" * 256, "tenant_id_too_long"), ("t" * 255, None),
