@@ -88,7 +88,7 @@ def test_row_wise_operators_do_not_shuffle(spark, name):
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_cross_join_and_no_python(spark, name):
-    if re.match(r"(job|snk|src|vlt_job|aud8_purge|lin11|met_windows)", name):
+    if re.match(r"(job|snk|src|vlt_job|aud8_purge|lin11|met_windows|qlt2_runs|qlt2_errors|met1_append|msk8_sketch)", name):
         pytest.skip("writes when it is built; its parts are covered by the other queries")
     text = plan(entry.queries()[name](spark, SF_DIR))
     for banned in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "InPandas", "InArrow"):

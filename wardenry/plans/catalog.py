@@ -1171,14 +1171,14 @@ def job2_differences_tree(spark, sf):
 def compliance_logs(spark, sf):
     """Tenants, and logs in which some tenants lack some kind of event."""
     tenants = table(spark, sf, "nation").select(F.concat(F.lit("tenant_"), F.col("n_nationkey").cast("string")).alias("tenant_id"))
-    return tenants, view(spark, sf, "audit"), view(spark, sf, "edges").where("transformation = 'REDACT'"), erasure_requests(spark, sf)
+    return tenants, view(spark, sf, "audit"), view(spark, sf, "edges"), erasure_requests(spark, sf)
 
 
 _COMPLIANCE_SQL = """
 tenants AS (SELECT 'tenant_' || CAST(n_nationkey AS STRING) AS tenant_id FROM nation),
 checks AS (
   SELECT tenant_id, 'pii_masking' AS check_name, (SELECT count(*) FROM audit a WHERE a.tenant_id = t.tenant_id AND action = 'signup') AS event_count FROM tenants t UNION ALL
-  SELECT tenant_id, 'lineage', (SELECT count(*) FROM edges e WHERE e.tenant_id = t.tenant_id AND transformation = 'REDACT') FROM tenants t UNION ALL
+  SELECT tenant_id, 'lineage', (SELECT count(*) FROM edges e WHERE e.tenant_id = t.tenant_id) FROM tenants t UNION ALL
   SELECT tenant_id, 'audit_logs', (SELECT count(*) FROM audit a WHERE a.tenant_id = t.tenant_id) FROM tenants t UNION ALL
   SELECT tenant_id, 'retention', (SELECT count(*) FROM requests r WHERE r.tenant_id = t.tenant_id) FROM tenants t)
 """

@@ -627,6 +627,47 @@ def vlt_job(spark, sf):
     return store.read("vault").select("token_id", "value", "tenant_id", "user_id")
 
 
+def _gated(spark, sf):
+    """Two batches of checked records; the second holds the customers of one kind again."""
+    store = _store(spark)
+    kyc = view(spark, sf, "kyc").select("customer_id", "tenant_id", "email", "segment", "full_name")
+    rules = {"email": {"required": True}, "full_name": {"required": True}}
+    ids = [jobs.gate_batch(store, batch, rules, "customer_id", threshold=0.9) for batch in (kyc, kyc.where("segment = 'BUILDING'"))]
+    return store, F.when(F.col("batch_id") == ids[0], 1).when(F.col("batch_id") == ids[1], 2).alias("batch")
+
+
+_BATCHES_SQL = "b AS (SELECT 1 AS batch, * FROM kyc UNION ALL SELECT 2, * FROM kyc WHERE segment = 'BUILDING')"
+
+
+@query("qlt2_runs", ["kyc"], f"""
+WITH {_BATCHES_SQL} SELECT *, quality_score < 0.9 AS circuit_breaker_triggered FROM (
+  SELECT batch, tenant_id, count(*) FILTER (WHERE email IS NOT NULL) AS passed_records, count(*) FILTER (WHERE email IS NULL) AS failed_records,
+    CAST(count(*) FILTER (WHERE email IS NOT NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS quality_score FROM b GROUP BY batch, tenant_id) s""")
+def qlt2_runs(spark, sf):
+    store, batch = _gated(spark, sf)
+    return store.read("quality_runs").select(batch, "tenant_id", "passed_records", "failed_records", "quality_score", "circuit_breaker_triggered")
+
+
+@query("qlt2_errors", ["kyc"], f"""
+WITH {_BATCHES_SQL} SELECT batch, customer_id AS record_key, 'email' AS field, 'null_value' AS error_type FROM b WHERE email IS NULL""")
+def qlt2_errors(spark, sf):
+    store, batch = _gated(spark, sf)
+    return store.read("quality_errors").select(batch, "record_key", "field", "error_type")
+
+
+@query("met1_append", [], """
+SELECT name, status_label, count(*) AS "count", round(sum(value), 2) AS "sum" FROM (
+  SELECT 'order_price' AS name, o_orderstatus AS status_label, o_totalprice AS value FROM orders UNION ALL
+  SELECT 'balance', CASE WHEN c_acctbal < 0 THEN 'short' ELSE 'fine' END, c_acctbal FROM customer) m GROUP BY 1, 2""")
+def met1_append(spark, sf):
+    store = _store(spark)
+    jobs.record_metrics(store, table(spark, sf, "orders"), "order_price", F.col("o_totalprice"), {"status": F.col("o_orderstatus")})
+    short = F.when(F.col("c_acctbal") < 0, "short").otherwise("fine")
+    jobs.record_metrics(store, table(spark, sf, "customer"), "balance", F.col("c_acctbal"), {"status": short})
+    label = F.col("labels")["status"].alias("status_label")
+    return store.read("metrics").groupBy("name", label).agg(F.count(F.lit(1)).alias("count"), F.round(F.sum("value"), 2).alias("sum"))
+
+
 @query("aud8_purge", ["audit"], """
 SELECT tenant_id, CAST(count(*) AS STRING) AS purged FROM audit WHERE ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 DAY GROUP BY tenant_id""")
 def aud8_purge(spark, sf):

@@ -6,17 +6,18 @@ raises publishes nothing but its failure event.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardenry import schemas as S
 from wardenry.functions.checks import field_value, other_values, typed_text
 from wardenry.functions.masking import mask_value
-from wardenry.operators import audit, compliance, erasure, lineage, quality, vault
+from wardenry.operators import audit, compliance, erasure, lineage, metrics, quality, vault
 from wardenry.operators.joins import lookup_join
 from wardenry.operators.masking import field_strategy
 from wardenry.operators.registry import check_presence
@@ -26,6 +27,7 @@ from wardenry.sources.versioned import TableStore, Transaction, write_partitione
 
 AUDIT_TABLE, LINEAGE_TABLE, RUNS_TABLE = "audit", "lineage", "job_runs"
 REQUESTS_TABLE, STATES_TABLE, VAULT_TABLE = "erasure_requests", "erasure_states", "vault"
+QUALITY_RUNS_TABLE, QUALITY_ERRORS_TABLE, METRICS_TABLE = "quality_runs", "quality_errors", "metrics"
 AUDIT_PARTITIONS = ["tenant_id", "dt"]
 _TEXT = T.StringType()
 
@@ -450,6 +452,34 @@ def store_tokens(store: TableStore, values: DataFrame, created_at: object, ttl_s
     return added
 
 
+def gate_batch(store: TableStore, rows: DataFrame, rules: Mapping[str, object], key: str, *, threshold: float = quality.DEFAULT_THRESHOLD,
+               record: str | None = None, tenant: str = "tenant_id") -> str:
+    """Check a batch and store its run and its errors under a new batch id, which is returned (QLT-2).
+
+    Runs have one row a tenant, errors one row each with the record's ``key``; both tables and an audit row per tenant are one commit.
+    """
+    batch_id = uuid.uuid4().hex
+    checked = quality.with_errors(rows, rules, record)
+    with store.transaction() as change:
+        folder = change.new_folder(QUALITY_RUNS_TABLE)
+        runs = quality.summarise(checked, threshold, [tenant]).select(F.lit(batch_id).alias("batch_id"), F.col(tenant).alias("tenant_id"), *S.QUALITY_RUNS.fieldNames()[2:])
+        runs.write.parquet(folder)
+        change.adopt(QUALITY_RUNS_TABLE, folder, S.QUALITY_RUNS)
+        errors = quality.error_table(checked, [key]).select(
+            F.lit(batch_id).alias("batch_id"), F.col(key).cast("string").alias("record_key"), *S.QUALITY_ERRORS.fieldNames()[2:])
+        change.append(QUALITY_ERRORS_TABLE, errors)
+        told = store.spark.read.schema(S.QUALITY_RUNS).parquet(folder)
+        log_audit(change, audit.events(told, "QUALITY_CHECK", record_id=F.col("batch_id"), details={
+            c: F.col(c) for c in ("passed_records", "failed_records", "quality_score", "circuit_breaker_triggered")}))
+    return batch_id
+
+
+def record_metrics(store: TableStore, rows: DataFrame, name: str, value: Column, labels: dict[str, Column] | None = None, ts: object | None = None) -> None:
+    """Append one metric for each row to the metrics table (MET-1); rows without a value are no metrics."""
+    with store.transaction() as change:
+        change.append(METRICS_TABLE, metrics.record(rows, name, value, labels, ts).where(F.col("value").isNotNull()).select(*S.METRICS.fieldNames()))
+
+
 def expire_audit(store: TableStore, as_of: datetime, retention_days: int | None) -> None:
     """Rewrite the audit table without events past the retention period and log the purge per tenant (AUD-8).
 
