@@ -1002,20 +1002,22 @@ def ten3_decide(spark, sf):
 
 
 @query("ten3_many_patterns", [], """
-WITH ids AS (SELECT o_orderkey AS k, CAST(o_orderkey AS STRING) AS t FROM orders),
-prefixes AS (SELECT DISTINCT substr(t, 1, greatest(length(t) - 1, 2)) AS p FROM ids WHERE k % 3 = 0)
-SELECT 's3://orders/' || t AS resource,
-  CASE WHEN EXISTS (SELECT 1 FROM prefixes WHERE starts_with(ids.t, p)) OR k % 7 = 0 THEN 'allow' ELSE 'deny' END AS decision FROM ids""")
+WITH ids AS (SELECT o_orderkey AS k, CAST(o_orderkey AS STRING) AS t, 'tenant_' || CAST(o_custkey % 2 AS STRING) AS tenant_id FROM orders),
+prefixes AS (SELECT DISTINCT tenant_id, substr(t, 1, greatest(length(t) - 1, 2)) AS p FROM ids WHERE k % 3 = 0)
+SELECT tenant_id, 's3://orders/' || t AS resource,
+  CASE WHEN k % 7 = 0 OR (tenant_id, substr(t, 1, 1)) IN (SELECT tenant_id, p FROM prefixes) OR (tenant_id, substr(t, 1, 2)) IN (SELECT tenant_id, p FROM prefixes) OR (tenant_id, substr(t, 1, 3)) IN (SELECT tenant_id, p FROM prefixes)
+    OR (tenant_id, substr(t, 1, 4)) IN (SELECT tenant_id, p FROM prefixes) OR (tenant_id, substr(t, 1, 5)) IN (SELECT tenant_id, p FROM prefixes)
+    OR (tenant_id, substr(t, 1, 6)) IN (SELECT tenant_id, p FROM prefixes) THEN 'allow' ELSE 'deny' END AS decision FROM ids""")
 def ten3_many_patterns(spark, sf):
-    """A tenant whose list has a prefix or a name for thousands of orders."""
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("t"))
+    """Tenants whose lists have a prefix or a name for thousands of orders."""
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("t"), F.concat(F.lit("tenant_"), (F.col("o_custkey") % 2).cast("string")).alias("tenant_id"))
     uri = F.concat(F.lit("s3://orders/"), F.col("t"))
     start = F.concat(F.lit("s3://orders/"), F.left("t", F.greatest(F.length("t") - 1, F.lit(2))), F.lit("*"))
-    patterns = orders.select(F.explode(F.array_compact(F.array(F.when(F.col("k") % 3 == 0, start), F.when(F.col("k") % 7 == 0, uri)))).alias("p")).distinct()
-    tenants = patterns.agg(F.collect_list("p").alias("allowed_resources")).select(
-        F.lit("tenant_x").alias("tenant_id"), F.lit("x").alias("name"), F.lit(True).alias("enabled"), "allowed_resources", F.array().cast("array<string>").alias("allowed_connector_types"))
-    asked = orders.select(F.lit("tenant_x").alias("tenant_id"), uri.alias("resource"))
-    return tenancy.decide(asked, tenants).select("resource", "decision")
+    patterns = F.explode(F.array_compact(F.array(F.when(F.col("k") % 3 == 0, start), F.when(F.col("k") % 7 == 0, uri))))
+    tenants = orders.select("tenant_id", patterns.alias("p")).groupBy("tenant_id").agg(F.collect_set("p").alias("allowed_resources")).select(
+        "tenant_id", F.lit("x").alias("name"), F.lit(True).alias("enabled"), "allowed_resources", F.array().cast("array<string>").alias("allowed_connector_types"))
+    return tenancy.decide(orders.select("tenant_id", uri.alias("resource")), tenants).select("tenant_id", "resource", "decision")
 
 
 @query("ten4_keys", ["access"], """
