@@ -284,14 +284,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     share = F.when(F.col("toxic"), train_docs / sizes[True]).otherwise(2 * train_docs / sizes[False])
     drawn = rated.where(F.pmod(F.xxhash64("__rated"), F.lit(1 << 20)) < share * float(1 << 20))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    # Of a long text sentences are drawn by a hash of place and content, where it is read; one as long as all that is drawn is cut.
-    sentences = F.split(F.col("text"), r"(?<=[.!?])\s+|\n+")
-    share = F.lit(train_chars * float(1 << 20)) / F.length("text")
-    drawn_text = F.left(F.concat_ws("\n", F.filter(sentences, lambda x, i: F.pmod(F.xxhash64(x, i), F.lit(1 << 20)) < share)), F.lit(2 * train_chars))
-    rows = rows.withColumn("text", F.when(F.length("text") <= train_chars, F.col("text")).otherwise(drawn_text))
     # The draw is small at any size of the corpus: broadcast after a count, so that no text is shuffled to find its label.
-    sample = sorted((r["toxic"], r["text"]) for r in rows.join(broadcast_if_small(drawn), F.col("__id") == F.col("__rated")).select("toxic", "text").collect())
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(broadcast_if_small(drawn), F.col("__id") == F.col("__rated"))
+    # Of a long text that was drawn, sentences are drawn by a hash of place and content; one as long as all that is drawn is cut.
+    sentences = F.split(F.col("text"), r"(?<=[.!?])\s+|\n+")
+    part = F.lit(train_chars * float(1 << 20)) / F.length("text")
+    some = F.left(F.concat_ws("\n", F.filter(sentences, lambda x, i: F.pmod(F.xxhash64(x, i), F.lit(1 << 20)) < part)), F.lit(2 * train_chars))
+    rows = rows.where(F.col("text").isNotNull()).select("toxic", F.when(F.length("text") <= train_chars, F.col("text")).otherwise(some).alias("text"))
+    sample = sorted((r["toxic"], r["text"]) for r in rows.collect())
     return learn([t for toxic, t in sample if toxic], [t for toxic, t in sample if not toxic])
 
 
