@@ -174,11 +174,35 @@ def test_mined_rules_against_counting(spark):
         right = sum(v == r.verdict for v in having)
         assert r.confidence == pytest.approx(right / len(having)) and r.confidence >= 0.6 and right >= 0.05 * len(labelled)
     sets = rows.select("tokens").distinct().withColumn("set", F.concat_ws(" ", "tokens"))
-    for r in url_rules.apply_rules(sets, url_rules.mine_rules(rows, 0.05, 0.6), 10_000).join(sets, "set").collect():
+    for r in url_rules.apply_rules(sets, url_rules.mine_rules(rows, 0.05, 0.6)).join(sets, "set").collect():
         best = max((x.confidence, x.support, len(x.tokens), x.verdict) for x in rules if set(x.tokens) <= set(r.tokens))
         assert r.verdict == best[3]
 
 
+def test_rules_see_every_part_of_a_url(spark):
+    """Later path segments, query names and values part urls whose first segment is the same number."""
+    rules = (("a.com", "/2024/casino", "block"), ("a.com", "/2024/news", "allow"), ("c.com", "/", "block"), ("d.com", "/", "allow"))
+    urls = [f"http://a.com/2024/{d}/p{i}?cat={c}" for i in range(40) for d, c in (("casino", "bets"), ("news", "sport"))]
+    urls += [f"http://c.com/x{i}?ref=spam" for i in range(40)] + [f"http://d.com/x{i}?ref=mail" for i in range(40)]
+    asked = {"http://b.net/2024/casino/win?cat=bets": "block", "http://b.net/2024/news/x?cat=sport": "allow", "http://e.net/1/2/3/casino": "block", "http://e.net/z?y=1&ref=spam": "block", "http://e.net/z?y=1&ref=mail": "allow"}
+    pages = spark.createDataFrame(list(enumerate([*urls, *asked])), "page_id long, url string")
+    found = {r.page_id: r.verdict for r in url_rules.filter_urls(pages, rules).collect()}
+    assert {u: found[len(urls) + i] for i, u in enumerate(asked)} == asked
+    tokens = [set(r.t) for r in spark.createDataFrame([(u,) for u in asked], "u string").select(url_rules.url_tokens(F.col("u"), url_rules.url_host(F.col("u")), url_rules.url_path(F.col("u"))).alias("t")).collect()]
+    assert tokens[0] - tokens[1] == {"dir=casino", "dir=win", "pair=cat=bets"}
+
+
+def test_frequent_tokens_against_counting(spark):
+    rows = [(["a", "b", "c", "z"] if i % 2 else ["a", "d", f"u{i}"], "x") for i in range(100)] + [(["é"], "x")] * 5
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string").repartition(3)
+    # b, c and z come in the same rows; every u is rarer.
+    known = [("a", "a"), ("b", "b"), ("c", "b"), ("d", "d"), ("z", "b")]
+    assert url_rules.frequent_tokens(df, 0.05) == known
+    assert url_rules.frequent_tokens(df, 0.04) == [*known, ("é", "é")] and url_rules.frequent_tokens(df.limit(0)) == []
+    kept = spark.createDataFrame([(["a", "c", "q", "z", ""],), ([],), (None,)], "t array<string>").select(url_rules.only(F.col("t"), known).alias("t"))
+    assert [r.t for r in kept.collect()] == [["a", "b"], [], None]
+
+
 def test_odd_urls(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://"), (None, "HTTP://A.EXAMPLE.ORG/es/x?y#z"), (5, "http://example.org#a/b"), (5, "http://example.org#a/b"), (6, "x://org")]
     table = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)).withColumn("verdict", F.lit(2))
