@@ -28,6 +28,40 @@ def test_long_lists_equal_plain_tests(spark):
         assert (r.decision == "allow") == fits, (r, fits)
 
 
+def test_long_lists_are_rows(spark, monkeypatch):
+    """Lists over the bound, or given as rows, decide as lists on the tenant's row do, also for repeated and null requests."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab/é*") for _ in range(rng.randint(0, 5)))
+    lists = {
+        "none": [], "null": [None], "one": ["ab*"], "all": ["*"], "many": [word() + rng.choice(["", "*"]) for _ in range(60)] + [None],
+        "mixed": ["a*", "ab*", "abb", "é*", "b?/", "[a]é", "regex:/+b", "regex:x"], "off": ["a*"],
+    }
+    tenants = spark.createDataFrame([(t, "x", t != "off", p, None) for t, p in lists.items()], S.TENANTS)
+    asked = [(t, word()) for t in [*lists, "ghost", "a/b", ""] for _ in range(40)]
+    asked += asked[:50] + [(t, r) for t in [*lists, None] for r in (None, "[a]é", "regex:x", "b*", "")]
+    requests = spark.createDataFrame(asked, "tenant_id string, resource string")
+    answers = lambda df: sorted(map(str, df.collect()))
+    want = answers(tenancy.decide(requests, tenants))
+    assert len(want) == len(asked)
+    rows = spark.createDataFrame([(t, p) for t, listed in lists.items() for p in listed], "tenant_id string, pattern string")
+    bare = tenants.withColumn("allowed_resources", F.array().cast("array<string>"))
+    assert answers(tenancy.decide(requests, bare, patterns=rows)) == want
+    for bound in (0, 1, 20):
+        monkeypatch.setattr(tenancy, "LISTED", bound)
+        assert answers(tenancy.decide(requests, tenants)) == want
+
+
+def test_requests_carry_no_long_list(spark, monkeypatch):
+    """The work is in proportion to the requests: no row that is joined with them holds a list of thousands."""
+    requests = spark.range(3000).select(F.lit("t").alias("tenant_id"), F.concat(F.lit("r"), "id").alias("resource"))
+    tenants = spark.createDataFrame([("t", "x", True, [f"r{n}" for n in range(0, 3000, 2)], None)], S.TENANTS)
+    sizes = []
+    compiled = tenancy.compile_policies
+    monkeypatch.setattr(tenancy, "compile_policies", lambda df: sizes.append(compiled(df).agg(F.max(F.size("_exact"))).first()[0]) or compiled(df))
+    assert tenancy.decide(requests, tenants).where("decision = 'allow'").count() == 1500
+    assert sizes == [0]
+
+
 @pytest.mark.parametrize("value, reason", [
     ("", "empty_tenant_id"), (None, "empty_tenant_id"), ("../admin", "invalid_characters"), ("tenant/admin", "invalid_characters"),
     ("tenant\\admin", "invalid_characters"), ("a\0b", "invalid_characters"), ("t" * 256, "tenant_id_too_long"), ("t" * 255, None),

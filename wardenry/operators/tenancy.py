@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from wardenry.functions import patterns as pt
 from wardenry.operators import audit
+from wardenry.operators.joins import lookup_join
 from wardenry.session import broadcast_if_small
 
 
@@ -35,6 +36,8 @@ def latest_registrations(tenants: DataFrame) -> DataFrame:
     return last.select(*[F.col("_row")[c].alias(c) for c in tenants.columns])
 
 
+# Entries of a list that travels with its tenant's requests; the entries of a longer one are rows that requests are joined with.
+LISTED = 1_000
 # Steps of a binary search, for lists of up to twice as many entries.
 _STEPS = [1 << n for n in range(23, -1, -1)]
 
@@ -46,6 +49,18 @@ def _in_sorted(value: Column, entries: Column) -> Column:
     return F.coalesce(F.get(entries, below - 1) == value, F.lit(False))
 
 
+def _is_regex(pattern: Column) -> Column:
+    return pattern.startswith(pt.REGEX_PREFIX)
+
+
+def _is_prefix(pattern: Column) -> Column:
+    return pattern.rlike(r"\A[^*?\[]*\*\z") & ~_is_regex(pattern)
+
+
+def _is_glob(pattern: Column) -> Column:
+    return pattern.rlike(r"[*?\[]") & ~_is_prefix(pattern)
+
+
 def compile_policies(tenants: DataFrame) -> DataFrame:
     """Sort every allow-list into exact names, plain prefixes and regular expressions, once per tenant.
 
@@ -53,20 +68,17 @@ def compile_policies(tenants: DataFrame) -> DataFrame:
     length. Only real globs and expressions run the regex engine.
     """
     listed = F.coalesce("allowed_resources", F.array().cast("array<string>"))
-    is_regex = lambda p: p.startswith(pt.REGEX_PREFIX)
-    is_prefix = lambda p: p.rlike(r"\A[^*?\[]*\*\z") & ~is_regex(p)
-    is_glob = lambda p: p.rlike(r"[*?\[]") & ~is_prefix(p)
     anchored = F.transform(
-        F.filter(listed, is_regex),
+        F.filter(listed, _is_regex),
         lambda p: F.concat(F.lit(r"\A(?:"), F.substr(p, F.lit(len(pt.REGEX_PREFIX) + 1)), F.lit(")")),
     )
-    prefixes = F.array_sort(F.array_distinct(F.transform(F.filter(listed, is_prefix), lambda p: F.regexp_replace(p, r"\*\z", ""))))
+    prefixes = F.array_sort(F.array_distinct(F.transform(F.filter(listed, _is_prefix), lambda p: F.regexp_replace(p, r"\*\z", ""))))
     return tenants.select(
         "tenant_id", "enabled", "allowed_connector_types",
         (F.size(listed) > 0).alias("_restricted"),
         F.array_sort(F.array_distinct(F.array_compact(listed))).alias("_exact"),
         prefixes.alias("_prefixes"), F.array_distinct(F.transform(prefixes, F.length)).alias("_lengths"),
-        F.concat(F.transform(F.filter(listed, is_glob), pt.glob_regex), anchored).alias("_regexes"),
+        F.concat(F.transform(F.filter(listed, _is_glob), pt.glob_regex), anchored).alias("_regexes"),
     )
 
 
@@ -88,14 +100,51 @@ def matching_patterns(requests: DataFrame, tenants: DataFrame, resource: str = "
     ).drop("allowed_resources")
 
 
-def decide(requests: DataFrame, tenants: DataFrame, resource: str = "resource", connector_type: str | None = None) -> DataFrame:
+def _as_rows(requests: DataFrame, tenants: DataFrame, entries: DataFrame, resource: str) -> tuple[DataFrame, DataFrame]:
+    """Long allow-lists, their ``entries`` (tenant_id, pattern) being rows, in two parts.
+
+    First ``tenants``, whose lists are left with their globs and expressions, and with a name no request can match where nothing else is left
+    that tells a restricted tenant; then the distinct ``(tenant_id, resource)`` of requests whose name, or whose start of a length that the
+    tenant's prefixes have, is an entry.
+    """
+    pattern = F.col("pattern")
+    regular = entries.where(_is_glob(pattern) | _is_regex(pattern)).select("tenant_id", pattern.alias("_regular"))
+    lists = entries.select("tenant_id").distinct().join(regular.groupBy("tenant_id").agg(F.collect_set("_regular").alias("_regular")), "tenant_id", "left")
+    unmatched = F.array(F.lit(None).cast("string"))
+    kept = F.when(F.col("_long"), F.coalesce("_regular", unmatched)).otherwise(F.col("allowed_resources"))
+    short = tenants.join(broadcast_if_small(lists.withColumn("_long", F.lit(True))), "tenant_id", "left").withColumn("allowed_resources", kept).select(*tenants.columns)
+    # A name has the length -1, so that it meets whole resources alone.
+    prefix = F.when(_is_prefix(pattern), F.regexp_replace(pattern, r"\*\z", ""))
+    filed = entries.where(pattern.isNotNull()).select("tenant_id", F.coalesce(F.length(prefix), F.lit(-1)).alias("_length"), F.coalesce(prefix, pattern).alias("_start")).distinct()
+    lengths = filed.groupBy("tenant_id").agg(F.collect_set("_length").alias("_lengths"))
+    asked = requests.select("tenant_id", F.col(resource)).join(broadcast_if_small(lengths), "tenant_id").where(F.col(resource).isNotNull())
+    starts = asked.select("tenant_id", resource, F.explode(F.filter("_lengths", lambda n: n <= F.length(resource))).alias("_length")).withColumn(
+        "_start", F.when(F.col("_length") < 0, F.col(resource)).otherwise(F.left(resource, F.col("_length"))))
+    return short, lookup_join(starts, filed, ["tenant_id", "_length", "_start"], "left_semi").select("tenant_id", resource).distinct()
+
+
+def decide(requests: DataFrame, tenants: DataFrame, resource: str = "resource", connector_type: str | None = None, patterns: DataFrame | None = None) -> DataFrame:
     """Adds ``decision`` and ``reason``.
 
     The last registration of a tenant counts. An invalid id is denied, an unregistered tenant is allowed, a disabled one denied, an empty list allows all,
-    otherwise some pattern must match. With ``connector_type`` the tenant's connector allow-list must hold too.
+    otherwise some pattern must match. With ``connector_type`` the tenant's connector allow-list must hold too. Rows ``(tenant_id, pattern)`` of
+    ``patterns`` are added to the list of their tenant, for lists too long for a row.
     """
-    policies = broadcast_if_small(compile_policies(latest_registrations(tenants)).withColumn("_registered", F.lit(True)))
+    latest = latest_registrations(tenants)
+    one = F.explode("allowed_resources").alias("pattern")
+    if patterns is not None:
+        entries = latest.select("tenant_id", one).unionByName(patterns.select("tenant_id", "pattern"))
+    else:
+        entries = latest.where(F.size("allowed_resources") > LISTED).select("tenant_id", one)
+        entries = None if entries.isEmpty() else entries
+    if entries is not None:
+        latest, found = _as_rows(requests, latest, entries, resource)
+    policies = broadcast_if_small(compile_policies(latest).withColumn("_registered", F.lit(True)))
     judged = check_ids(requests).join(policies, "tenant_id", "left")
+    fits = allowed(F.col(resource))
+    if entries is not None:
+        judged = lookup_join(judged, found.withColumn("_found", F.lit(True)), ["tenant_id", resource])
+        fits = F.coalesce("_found", F.lit(False)) | fits
     refusal = (
         F.when(F.col("denial_reason").isNotNull(), F.col("denial_reason"))
         .when(F.col("_registered").isNull(), F.lit(None).cast("string"))
@@ -105,7 +154,7 @@ def decide(requests: DataFrame, tenants: DataFrame, resource: str = "resource",
         types = F.col("allowed_connector_types")
         limited = F.coalesce(F.size(types) > 0, F.lit(False))
         refusal = refusal.when(limited & ~F.array_contains(types, F.col(connector_type)), "connector_type_not_allowed")
-    refusal = refusal.when(F.col("_restricted") & ~allowed(F.col(resource)), "resource_not_allowed")
+    refusal = refusal.when(F.col("_restricted") & ~fits, "resource_not_allowed")
     return judged.withColumn("_refusal", refusal).select(
         *requests.columns,
         F.when(F.col("_refusal").isNull(), "allow").otherwise("deny").alias("decision"),

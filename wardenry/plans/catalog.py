@@ -1015,9 +1015,11 @@ def ten3_many_patterns(spark, sf):
     uri = F.concat(F.lit("s3://orders/"), F.col("t"))
     start = F.concat(F.lit("s3://orders/"), F.left("t", F.greatest(F.length("t") - 1, F.lit(2))), F.lit("*"))
     patterns = F.explode(F.array_compact(F.array(F.when(F.col("k") % 3 == 0, start), F.when(F.col("k") % 7 == 0, uri))))
-    tenants = orders.select("tenant_id", patterns.alias("p")).groupBy("tenant_id").agg(F.collect_set("p").alias("allowed_resources")).select(
-        "tenant_id", F.lit("x").alias("name"), F.lit(True).alias("enabled"), "allowed_resources", F.array().cast("array<string>").alias("allowed_connector_types"))
-    return tenancy.decide(orders.select("tenant_id", uri.alias("resource")), tenants).select("tenant_id", "resource", "decision")
+    lists = orders.select("tenant_id", patterns.alias("pattern")).distinct()
+    none = F.array().cast("array<string>")
+    tenants = lists.select("tenant_id").distinct().select(
+        "tenant_id", F.lit("x").alias("name"), F.lit(True).alias("enabled"), none.alias("allowed_resources"), none.alias("allowed_connector_types"))
+    return tenancy.decide(orders.select("tenant_id", uri.alias("resource")), tenants, patterns=lists).select("tenant_id", "resource", "decision")
 
 
 @query("ten4_keys", ["access"], """
