@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -216,3 +217,21 @@ def test_odd_urls(spark):
 def test_url_filter_runs_no_python(spark):
     text = queries.QUERIES["op9_url_rules"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "InArrow" not in text and "CartesianProduct" not in text
+
+
+def test_texts_cut_in_blocks_equal_single_texts(monkeypatch):
+    """Blocks of any size give what each text gives alone, and look up a chunk once however often it comes."""
+    encoder = packing.Encoder(PATH)
+    texts = ["", None, " ", "\n\n", "a" * 30_000, "\ta\tb é×÷ª İ x's I'll 12 ³", "x " * 4095, "x " * 4096, "word, " * 9000, "  z", "语言 <unk> e\u0301", ""]
+    for size in (1, 10, 1000, 1 << 24):
+        monkeypatch.setattr(packing, "BLOCK_BYTES", size)
+        assert [*packing.cut_block(encoder, pa.array(["other", *texts]).slice(1), 16)] == [packing.cut(encoder, t, 16) for t in texts]
+        assert [*packing.cut_block(encoder, pa.array(texts))] == [packing.cut(encoder, t) for t in texts]
+    whole = b"".join(i.to_bytes(4, "little") for t in texts for i in encoder.tokenizer.encode(t or "", add_special_tokens=False).ids)
+    data, starts = encoder.block(pa.array(texts))
+    assert bytes(data[: starts[-1]]) == whole
+    asked = []
+    monkeypatch.setattr(encoder, "_plain", lambda chunk: asked.append(chunk) or b"")
+    encoder.block(pa.array(["one two one\none"] * 50))
+    assert sorted(asked) == ["one", "two"]
+    assert [*packing.cut_block(encoder, pa.array([], pa.string()))] == []

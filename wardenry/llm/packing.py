@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +26,13 @@ GROUP_PIECES = 16_384
 # Chunks and words that a worker remembers, twice each.
 REMEMBERED = 250_000
 SLICE_CHARS = 1 << 20
+# Bytes of texts whose chunks are found together; a longer text is cut on its own.
+BLOCK_BYTES = 1 << 24
 
 # Text that needs nothing but lower case before it is cut: printable ASCII and the letters of Latin-1.
-_PLAIN = regex.compile(r"[\x21-\x3b\x3d-\x7eÀ-ÿ]+")
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_PLAIN = re.compile(r"[\x21-\x3b\x3d-\x7eÀ-ÿ]+")
+# The tokenizer's words in such text, in lower case.
+_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 def _byte_letters() -> list[str]:
@@ -73,12 +79,18 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         shown = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.table)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         if _PLAIN.fullmatch(chunk):
-            return b"".join(map(self.words.__getitem__, _PRETOKEN.findall(chunk.lower())))
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+            return self._plain(chunk)
+        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _plain(self, chunk: str) -> bytes:
+        text = chunk.lower()
+        return self.words[text] if text.isalpha() else b"".join(map(self.words.__getitem__, _PRETOKEN.findall(text)))
 
     def __call__(self, text: str) -> Iterator[bytes]:
         at, size = 0, len(text)
@@ -89,6 +101,22 @@ class Encoder:
             yield b"".join(map(self.chunks.__getitem__, text[at:end].replace("\n", " ").split(" ")))
             at = end
 
+    def block(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
+        """Ids of many texts, null ones empty, behind one another, and where each text's begin, the end of all last.
+
+        Arrow cuts the texts at blanks and numbers the chunks, so each different chunk of the block is looked up once. Only words, and
+        chunks that are not plain, are remembered beyond the block.
+        """
+        chunks = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        numbered = chunks.flatten().dictionary_encode()
+        # No chunk holds a blank, so all of them come to Python as one text.
+        different = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(numbered.dictionary)], pa.int32()), numbered.dictionary), " ")[0].as_py().split(" ")
+        plain, word, other = _PLAIN.fullmatch, self._plain, self.chunks
+        ids = pa.array([word(c) if plain(c) else other[c] for c in different], pa.large_binary()).take(numbered.indices)
+        _, ends, data = ids.buffers()
+        first = np.frombuffer(ends, np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        return memoryview(data or b""), first[np.asarray(chunks.offsets) - chunks.offsets[0].as_py()].tolist()
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
@@ -115,6 +143,24 @@ def cut(encoder: Encoder, text: str | None, window: int = WINDOW, end_id: int =
     return start, pieces
 
 
+def cut_block(encoder: Encoder, texts: pa.Array, window: int = WINDOW, end_id: int = END_ID) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """What ``cut`` gives for each text, in order; texts are taken together up to ``BLOCK_BYTES``."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+    end, most, at = end_id.to_bytes(4, "little"), 4 * window, 0
+    while at < len(texts):
+        until = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BLOCK_BYTES, side="right")))
+        if sizes[at] > BLOCK_BYTES:
+            yield cut(encoder, texts[at].as_py(), window, end_id)
+        else:
+            data, starts = encoder.block(texts.slice(at, until - at))
+            for first, last in zip(starts, starts[1:]):
+                pieces = [((b - first) // 4, most // 4, zlib.crc32(data[b : b + most])) for b in range(first, last - most + 1, most)]
+                rest = first + most * len(pieces)
+                pieces.append(((rest - first) // 4, (last - rest) // 4 + 1, zlib.crc32(end, zlib.crc32(data[rest:last]))))
+                yield (last - first) // 4 + 1, pieces
+        at = until
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents: (``id_col``, start, length, ids_crc32, doc_tokens, piece). Null texts count as empty: the end id alone."""
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("__text"))
@@ -124,8 +170,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         encoder, number = _encoder(tokenizer_path), TaskContext.get().partitionId() << 40
         for batch in batches:
             at, columns = [], [[], [], [], [], []]
-            for i, text in enumerate(batch.column(1)):
-                tokens, pieces = cut(encoder, text.as_py(), window, end_id)
+            for i, (tokens, pieces) in enumerate(cut_block(encoder, batch.column(1), window, end_id)):
                 for start, length, crc in pieces:
                     at.append(i)
                     for column, value in zip(columns, (start, length, crc, tokens, number)):
