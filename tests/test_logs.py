@@ -163,6 +163,25 @@ def test_provenance_of_hubs_and_deep_graphs(spark, monkeypatch):
     assert got == {(str(n), str(d)): h for n in (0, 5) for d, h in reach(pairs, n).items()}
 
 
+def test_provenance_searches_roots_together(spark, monkeypatch):
+    """A dataset is one row a block of 64 roots that reach it by the same hop; all 64 bits tell their root."""
+    pairs = {(n, 200) for n in range(130)} | {(n, n + 1) for n in range(200, 204)} | {(204, 0), (7, 203), (9, 9)}
+    counts, write = {}, lineage._Bucketed.write
+
+    def counted(self, df, name, by):
+        counts[name] = (found := write(self, df, name, by)).count()
+        return found
+
+    monkeypatch.setattr(lineage._Bucketed, "write", counted)
+    rows = edges(spark, *[(str(s), str(d), "COPY", "t") for s, d in pairs])
+    roots = spark.createDataFrame([(str(n),) for n in range(130)] * 2 + [(None,)], "dataset string")
+    got = [(r.root, r.dataset, r.hops) for r in lineage.provenance(rows, roots).collect()]
+    assert sorted(got) == sorted((str(n), str(d), h) for n in range(130) for d, h in reach(pairs, n).items())
+    assert counts["hop-2"] <= 8 and counts["hop-3"] <= 8
+    monkeypatch.setattr(lineage, "ROOT_GROUP", 30)
+    assert sorted((r.root, r.dataset, r.hops) for r in lineage.provenance(rows, roots).collect()) == sorted(got)
+
+
 def test_provenance_never_moves_the_links(spark, monkeypatch, chain):
     plans, files = [], []
     hop, write = lineage._hop, lineage._Bucketed.write

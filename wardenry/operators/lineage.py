@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardenry.operators import audit
@@ -115,6 +115,8 @@ def event_count(edges: DataFrame) -> DataFrame:
 
 # Links of one dataset in a bucket; the links of a larger one are dealt over several. Hops whose finds are merged into one table.
 HUB_LINKS, MERGED_HOPS = 1_000_000, 8
+# The bits of a block of roots, the last one the sign; roots that one task numbers.
+_BITS, ROOT_GROUP = [*(1 << n for n in range(63)), -(1 << 63)], 65_536
 
 
 class _Bucketed:
@@ -146,10 +148,12 @@ class _Bucketed:
 def provenance(edges: DataFrame, roots: DataFrame, direction: str = "downstream", max_hops: int | None = None) -> DataFrame:
     """Everything reachable from each root with the least number of hops: ``(root, dataset, hops)``.
 
-    Breadth first, one join per hop, until a hop finds nothing new; cycles and self-loops end by anti-joins with what was seen. Links are
-    bucketed once by their near end, and what a hop finds by root and dataset: a hop shuffles its frontier and its finds, never the links or
-    what was seen. The links of a hub are dealt over several buckets. Finds are tables in the shared folder, which cuts the lineage and
-    survives lost executors; the links are deleted at the end. A root is listed only when a cycle leads back to it.
+    Breadth first, one join per hop, until a hop finds nothing new; cycles and self-loops end by comparison with what was seen. Up to 64
+    roots are searched together: a row is a dataset with one bit for each root of a block that reaches it, so a link is followed once for
+    all roots that come to it by the same hop. Links are bucketed once by their near end, and what a hop finds by block and dataset: a hop
+    shuffles its frontier and its finds, never the links or what was seen. The links of a hub are dealt over several buckets. Finds are
+    tables in the shared folder, which cuts the lineage and survives lost executors; the links are deleted at the end. A root is listed
+    only when a cycle leads back to it.
     """
     if direction not in ("downstream", "upstream"):
         raise ValueError("direction must be downstream or upstream")
@@ -166,25 +170,29 @@ def provenance(edges: DataFrame, roots: DataFrame, direction: str = "downstream"
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("far"), F.col("parts"))).cast("int").alias("part")
     dealt = pairs.join(hubs, "near", "left").select("near", part, "far").repartition(tables.buckets, "near", "part")
     links = tables.write(dealt, "links", ["near", "part"])
+    numbered = _numbered(tables, roots)
 
-    frontier = roots.select(F.col("dataset").alias("root"), "dataset").distinct()
+    frontier = numbered.groupBy("block", "dataset").agg(F.bit_or("bits").alias("bits"))
     found_paths: list[str] = []
     seen: dict[str, DataFrame] = {}
     hop = 0
     try:
         while max_hops is None or hop < max_hops:
             hop += 1
-            reached = tables.write(_hop(links, hubs, frontier, seen).withColumn("hops", F.lit(hop)), f"hop-{hop}", ["root", "dataset"])
+            reached = tables.write(_hop(links, hubs, frontier, seen).withColumn("hops", F.lit(hop)), f"hop-{hop}", ["block", "dataset"])
             if reached.isEmpty():
                 break
             found_paths.append(f"{tables.folder}/hop-{hop}")
             seen[f"hop-{hop}"] = reached
-            frontier = reached.select("root", "dataset")
+            frontier = reached.select("block", "dataset", "bits")
             if len(seen) > MERGED_HOPS:
                 seen = _merged(tables, seen, hop)
         if not found_paths:
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(*found_paths)
+        found = spark.read.schema(reached.schema).parquet(*found_paths)
+        names = broadcast_if_small(numbered.select("block", "bits", F.col("dataset").alias("root")))
+        each = F.explode(F.filter(F.array(*map(F.lit, _BITS)), lambda bit: F.col("bits").bitwiseAND(bit) != 0)).alias("bits")
+        return found.select("block", "dataset", "hops", each).join(names, ["block", "bits"]).select("root", "dataset", "hops")
     finally:
         for name in list(tables.names):
             if name.startswith("hop-"):
@@ -193,13 +201,30 @@ def provenance(edges: DataFrame, roots: DataFrame, direction: str = "downstream"
                 tables.drop(name)
 
 
+def _numbered(tables: _Bucketed, roots: DataFrame) -> DataFrame:
+    """Each root in a block of up to 64, with a bit of its own there: ``(dataset, block, bits)``. Roots are numbered in groups of bounded size."""
+    distinct = roots.select(F.col("dataset").cast("string").alias("dataset")).distinct()
+    groups = distinct.count() // ROOT_GROUP + 1
+    number = F.row_number().over(Window.partitionBy("group").orderBy("dataset")) - 1
+    placed = distinct.withColumn("group", F.pmod(F.xxhash64("dataset"), F.lit(groups))).withColumn("number", number).select(
+        "dataset", (F.floor(F.col("number") / len(_BITS)) * groups + F.col("group")).cast("long").alias("block"),
+        F.get(F.array(*map(F.lit, _BITS)), F.col("number") % len(_BITS)).alias("bits"))
+    path = f"{tables.folder}/roots"
+    placed.write.parquet(path)
+    return tables.spark.read.schema("dataset string, block long, bits long").parquet(path)
+
+
 def _hop(links: DataFrame, hubs: DataFrame, frontier: DataFrame, seen: dict[str, DataFrame]) -> DataFrame:
-    """New ``(root, dataset)`` one link behind the frontier."""
+    """New ``(block, dataset, bits)`` one link behind the frontier: the bits of roots that had not reached the dataset."""
     parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
-    asked = frontier.join(hubs.withColumnRenamed("near", "dataset"), "dataset", "left").select("root", F.col("dataset").alias("near"), parts)
+    asked = frontier.join(hubs.withColumnRenamed("near", "dataset"), "dataset", "left").select("block", F.col("dataset").alias("near"), parts, "bits")
     # A frontier is broadcast once it is counted; a large one is merged with the links, which are never moved.
-    found = links.join(_small_or_merged(asked), ["near", "part"]).select("root", F.col("far").alias("dataset")).distinct()
-    return found.join(_union(seen), ["root", "dataset"], "left_anti") if seen else found
+    followed = links.join(_small_or_merged(asked), ["near", "part"]).select("block", F.col("far").alias("dataset"), "bits")
+    found = followed.groupBy("block", "dataset").agg(F.bit_or("bits").alias("bits"))
+    if not seen:
+        return found
+    left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("before", F.lit(0).cast("long"))))
+    return found.join(_union(seen).withColumnRenamed("bits", "before"), ["block", "dataset"], "left").select("block", "dataset", left.alias("bits")).where("bits != 0")
 
 
 def _small_or_merged(asked: DataFrame) -> DataFrame:
@@ -208,14 +233,15 @@ def _small_or_merged(asked: DataFrame) -> DataFrame:
 
 
 def _union(seen: dict[str, DataFrame]) -> DataFrame:
-    """All that was seen. The tables have equal buckets, so their union has them too and is not shuffled."""
-    return reduce(DataFrame.unionByName, [earlier.select("root", "dataset") for earlier in seen.values()])
+    """All that was seen, a dataset once a block. The tables have equal buckets, so their union has them too and is not shuffled."""
+    every = reduce(DataFrame.unionByName, [earlier.select("block", "dataset", "bits") for earlier in seen.values()])
+    return every.groupBy("block", "dataset").agg(F.bit_or("bits").alias("bits")) if len(seen) > 1 else every
 
 
 def _merged(tables: _Bucketed, seen: dict[str, DataFrame], hop: int) -> dict[str, DataFrame]:
-    """What was seen as one table, so that a hop's anti-joins stay few on deep graphs."""
+    """What was seen as one table, so that a hop's comparisons stay few on deep graphs."""
     name = f"seen-{hop}"
-    merged = tables.write(_union(seen), name, ["root", "dataset"])
+    merged = tables.write(_union(seen), name, ["block", "dataset"])
     for old in seen:
         if old.startswith("seen-"):
             tables.drop(old)
