@@ -190,9 +190,8 @@ def provenance(edges: DataFrame, roots: DataFrame, direction: str = "downstream"
         if not found_paths:
             return spark.createDataFrame([], schema)
         found = spark.read.schema(reached.schema).parquet(*found_paths)
-        names = broadcast_if_small(numbered.select("block", "bits", F.col("dataset").alias("root")))
-        each = F.explode(F.filter(F.array(*map(F.lit, _BITS)), lambda bit: F.col("bits").bitwiseAND(bit) != 0)).alias("bits")
-        return found.select("block", "dataset", "hops", each).join(names, ["block", "bits"]).select("root", "dataset", "hops")
+        names = broadcast_if_small(numbered.select("block", F.col("bits").alias("bit"), F.col("dataset").alias("root")))
+        return found.join(names, "block").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("root", "dataset", "hops")
     finally:
         for name in list(tables.names):
             if name.startswith("hop-"):
