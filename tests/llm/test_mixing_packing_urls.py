@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wardenry.llm import mixing, packing, queries, url_rules
+from wardenry.llm import common, mixing, packing, queries, url_rules
 
 SF_DIR = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -135,6 +136,36 @@ def test_chunks_are_tokenised_as_whole_texts():
         assert got == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_memory_of_the_encoder():
+    """What is remembered, and what Arrow holds of a block, is bounded in bytes."""
+    memo = packing._Recent(lambda key: b"x" * 1000)
+    assert all(memo[f"word {i}"] == b"x" * 1000 for i in range(100_000)) and memo["word 1"] == b"x" * 1000
+    assert 10_000_000 < sum(getsizeof(k) + getsizeof(v) for part in (memo, memo.old) for k, v in part.items()) < 60_000_000
+    memo = packing._Recent(str.encode, 16_000)
+    assert memo["b" * 2000] == b"b" * 2000 and not memo and memo["b"] == b"b" and "b" in memo
+    encoder, words = packing.Encoder(PATH), [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    texts, usual = pa.array([" ".join(random.Random(n).choices(words, k=1000)) for n in range(100)] * 40), pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(usual)
+    pa.set_memory_pool(pool)
+    try:
+        found = [*packing.cut_block(encoder, texts)]
+    finally:
+        pa.set_memory_pool(usual)
+    assert found == [packing.cut(encoder, t.as_py()) for t in texts[:100]] * 40
+    assert texts.nbytes > 11_000_000 and pool.max_memory() < 45_000_000
+
+
+def test_rows_come_to_python_in_batches(spark):
+    counts = lambda: max(r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in it), "n long").collect())
+    usual = spark.conf.get(common.ARROW_ROWS, None)
+    with common.arrow_batches(spark, 1000):
+        assert counts() == 1000
+        with common.arrow_batches(spark, 2000):
+            assert counts() == 1000
+        assert counts() == 1000
+    assert spark.conf.get(common.ARROW_ROWS, None) == usual and counts() == 3000
+
+
 def test_bounded_space_best_fit():
     bins, offsets, fills, still = packing.place([6, 5, 4, 5, 9, 8], 10, 2)
     assert bins == [0, 1, 0, 1, 2, 3] and offsets == [0, 0, 6, 5, 0, 0] and fills == [10, 10, 9, 8] and still == [False, False, True, True]

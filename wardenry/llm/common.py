@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from wardenry.session import scratch_path
 
 # Rows that one task numbers or one group holds, wherever a job cuts its rows into groups of bounded size.
 GROUP_ROWS = 4096
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # Rounds of contraction. Each keeps about half of the nodes, so this many cover any graph Spark can hold.
 MAX_ROUNDS = 64
 
@@ -29,6 +31,20 @@ def frozen(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows that are written inside come to Python in batches of at most ``rows``, or fewer if the session says so."""
+    before = spark.conf.get(ARROW_ROWS, None)
+    spark.conf.set(ARROW_ROWS, str(rows if before is None or int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(ARROW_ROWS)
+        else:
+            spark.conf.set(ARROW_ROWS, before)
+
+
 def nullable(schema: StructType) -> StructType:
     """The schema of rows that Python returns: any column may be null there."""
     return StructType([StructField(f.name, f.dataType, True) for f in schema])

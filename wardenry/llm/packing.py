@@ -8,6 +8,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -16,18 +17,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardenry.llm.common import bucket_of, frozen, groups_of
+from wardenry.llm.common import arrow_batches, bucket_of, frozen, groups_of
 
 WINDOW = 4096
 END_ID = 2
 # Windows a packing group keeps open, and pieces in a group.
 OPEN_WINDOWS = 64
 GROUP_PIECES = 16_384
-# Chunks and words that a worker remembers, twice each.
-REMEMBERED = 250_000
+# Bytes of words, and of chunks, that a worker remembers, twice each, and what an entry takes beside its text and its ids.
+REMEMBERED_BYTES, ENTRY_BYTES = 3 << 23, 80
 SLICE_CHARS = 1 << 20
-# Bytes of texts whose chunks are found together; a longer text is cut on its own.
-BLOCK_BYTES = 1 << 24
+# Bytes of texts whose chunks are found together, at several times their size in memory; a longer text is cut on its own.
+BLOCK_BYTES = 1 << 22
+# Documents that come to a worker at a time: Spark holds a batch twice beside its heap, the worker once more.
+BATCH_ROWS = 1000
 
 # Text that needs nothing but lower case before it is cut: printable ASCII and the letters of Latin-1.
 _PLAIN = re.compile(r"[\x21-\x3b\x3d-\x7eÀ-ÿ]+")
@@ -43,19 +46,26 @@ def _byte_letters() -> list[str]:
 
 
 class _Recent(dict):
-    """A memo of two generations: what was not used since the last change is forgotten."""
+    """A memo of two generations, each of at most ``limit`` bytes: what was not used since the last change is forgotten.
 
-    def __init__(self, make, limit: int = REMEMBERED):
-        self.make, self.limit, self.old = make, limit, {}
+    An entry that would fill a sixteenth of a generation alone is made anew each time.
+    """
+
+    def __init__(self, make, limit: int = REMEMBERED_BYTES):
+        self.make, self.limit, self.size, self.old = make, limit, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        size = ENTRY_BYTES + getsizeof(key) + getsizeof(value)
+        if size > self.limit // 16:
+            return value
+        if self.size + size > self.limit:
+            self.old, self.size = dict(self), 0
             self.clear()
         self[key] = value
+        self.size += size
         return value
 
 
@@ -231,7 +241,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     Windows still open at a group's end are packed again as wholes, over groups of them, until one group is left. Repeated rows are
     documents of their own; null and empty texts are the end id alone; an empty table gives no rows.
     """
-    pieces = frozen(tokenised(docs, tokenizer_path, id_col, text_col, window, end_id), "pieces")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        pieces = frozen(tokenised(docs, tokenizer_path, id_col, text_col, window, end_id), "pieces")
     items, count, level, maps = pieces.select(F.col("piece").alias("item"), "length"), pieces.count(), 0, []
     while True:
         groups = groups_of(count, group_pieces)
